@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import sha256_hex
 from .line_dedup import line_dedup
+from .simhash import simhash_groups
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +33,9 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.key IS NOT NULL) AS
 FROM keyed LEFT JOIN common c USING (key) GROUP BY doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_line_dedup": op6_line_dedup}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_line_dedup": op6_line_dedup, "op8_simhash": op8_simhash}
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}

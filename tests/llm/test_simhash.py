@@ -1,0 +1,81 @@
+import random
+
+import numpy as np
+import xxhash
+
+from tessera.llm import simhash as S
+
+
+def brute_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [b" ".join(words)]
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps, radius=4):
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= radius:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(fps))]
+
+
+def test_fingerprint():
+    rng = random.Random(1)
+    texts = ["", "a", "A b", "a b c", "a b c d", "É é x\ty \x0b z", " ".join(rng.choice("abcdef") for _ in range(300))]
+    assert [S.fingerprint(t.encode()) for t in texts] == [brute_fingerprint(t) for t in texts]
+
+
+def test_links_connect_what_brute_force_connects(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+    fps = [int(x) for x in base]
+    for x in base[:30]:
+        y = int(x)
+        for _ in range(rng.integers(1, 12)):
+            for bit in rng.integers(0, 64, rng.integers(1, 5)):
+                y ^= 1 << int(bit)
+            fps.append(y)
+    hub = int(base[0])
+    fps = sorted({*fps, *(hub ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(1, 64, 5))})
+    want = brute_components(fps)
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3)
+    for chunk in (4096, 7):
+        got = {r.node: r.label for r in S.components(S.links(df, chunk)).collect()}
+        label = [got.get(x, x) for x in signed]
+        assert len(set(zip(label, want))) == len(set(label)) == len(set(want))
+
+
+def test_long_chain(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001)]
+    random.Random(0).shuffle(edges)
+    got = {r.node: r.label for r in S.components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_groups_and_dedup(spark):
+    rng = random.Random(2)
+    long = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"]) + str(rng.randint(0, 50)) for _ in range(400)) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(long)] + [(10 + i, t + " tail") for i, t in enumerate(long[:3])] + [(20, None), (21, ""), (None, "x"), (None, long[0]), (3, long[3]), (3, long[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS key", "2 AS of")
+    fps = [brute_fingerprint(t) for _, t in rows]
+    comp = brute_components(fps)
+    ids = {c: min((d for (d, _), x in zip(rows, comp) if x == c and d is not None), default=None) for c in comp}
+    got = sorted(map(tuple, S.simhash_groups(df).collect()), key=repr)
+    assert got == sorted(((d, f"{f:016x}", ids[c]) for (d, _), f, c in zip(rows, fps, comp)), key=repr)
+    kept = S.near_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted({ids[c] for c in comp}, key=repr)
+    assert S.simhash_groups(df.limit(0)).count() == S.near_dedup(df.limit(0)).count() == 0
