@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import sha256_hex
 from .line_dedup import line_dedup
 from .simhash import simhash_groups
+from .substring_dedup import substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +34,30 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.key IS NOT NULL) AS
 FROM keyed LEFT JOIN common c USING (key) GROUP BY doc_id
 """
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup(docs, length=50).select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+win AS (
+  SELECT doc_id, s, md5(array_to_string(list_slice(words, s, s + 49), ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM split WHERE len(words) >= 50)),
+least AS (SELECT h, min(doc_id) AS least FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM win JOIN least USING (h) WHERE doc_id > least),
+word AS (SELECT doc_id, i, words[i] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM split)),
+kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE g.i IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE g.i IS NULL) AS kept
+  FROM word LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_line_dedup": op6_line_dedup, "op8_simhash": op8_simhash}
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL}

@@ -11,6 +11,8 @@ import pyarrow as pa
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Rows of intermediate tables at a time.
+BLOCK = 1 << 16
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Everything in ASCII but letters and digits.
