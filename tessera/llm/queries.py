@@ -11,6 +11,7 @@ from .common import sha256_hex
 from .line_dedup import line_dedup
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
+from .url_rules import judge
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +60,28 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash}
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL}
+#: (host, path, action)
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, default="allow").drop("url")
+
+
+OP10_SQL = f"""
+WITH rules(host, path, action) AS (VALUES {", ".join(map(repr, URL_RULES))}),
+split AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+fits AS (
+  SELECT s.host, s.path, arg_max({{'rule': r.host || r.path, 'action': r.action}}, length(r.host) + length(r.path)) AS best
+  FROM (SELECT DISTINCT host, path FROM split) s JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+  GROUP BY ALL)
+SELECT page_id, s.host, s.path, f.best.rule AS rule, coalesce(f.best.action, 'allow') AS verdict
+FROM split s LEFT JOIN fits f ON s.host = f.host AND s.path = f.path
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op10_url_rules": op10_url_rules}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_url_rules": OP10_SQL}

@@ -1,0 +1,46 @@
+import random
+import re
+
+import pytest
+
+from tessera.llm import url_rules as U
+
+
+def parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+
+
+def brute(url, rules, default):
+    host, path = parts(url)
+    fits = [(len(h) + len(p), len(h), a == "block", h + p, a) for h, p, a in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, 0, 0, None, default))
+    return host, path, best[3], best[4]
+
+
+@pytest.mark.parametrize("sample", [50_000, 20])
+def test_against_brute_force(spark, sample, monkeypatch):
+    rng = random.Random(4)
+    match = U.match
+    monkeypatch.setattr(U, "match", lambda pairs, rules: match(pairs, rules, sample))
+    hosts = ["org", "a.org", "b.a.org", "c.b.a.org", "com", "xa.org", "a.com", "", "..", "ünï.com"]
+    paths = ["", "/", "/a", "/a/", "/a/b", "/ab", "/a/b/c", "/é/x", "/\xff"]
+    rules = [(h, p, rng.choice(["allow", "block"])) for h in hosts[:7] for p in paths if rng.random() < 0.5]
+    rules += [("org", "/a", "allow"), ("org", "/a", "block")]
+    rows = [(i, rng.choice(["http://", "HTTPS://", "://"]) + rng.choice(["", "WWW.", "x."]) + rng.choice(hosts) + rng.choice(paths) + rng.choice(["", "z", "?q=/a://", "#t"])) for i in range(400)]
+    rows += [(900, None), (901, "no scheme"), (902, "http://a.org"), (None, "http://a.org/a"), rows[0], rows[0], (903, "http://hot.a.org/a/b"), *[(1000 + i, "http://b.a.org/a/b") for i in range(300)]]
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS h", "'x' AS host")
+    out = U.judge(df, spark.createDataFrame([*rules, (None, "/", "allow")], "host string, path string, action string"), "allow")
+    assert out.columns == ["page_id", "url", "h", "host", "path", "rule", "verdict"] or set(out.columns) == {"page_id", "url", "h", "host", "path", "rule", "verdict"}
+    got = sorted(map(tuple, out.select("page_id", "url", "host", "path", "rule", "verdict").collect()), key=repr)
+    assert got == sorted(((i, u, *brute(u, rules, "allow")) for i, u in rows), key=repr)
+
+
+def test_no_rules_no_pages(spark):
+    none = spark.createDataFrame([], "host string, path string, action string")
+    page = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
+    assert [r.verdict for r in U.judge(page, none, "block").collect()] == ["block"]
+    assert U.judge(page.limit(0), none).count() == 0
