@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import search
 from .common import sha256_hex
 from .line_dedup import line_dedup
 from .simhash import simhash_groups
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, rule="common", min_docs=10, min_chars=1).select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("kept")).alias("kept_sha256"))
@@ -83,5 +89,5 @@ SELECT page_id, s.host, s.path, f.best.rule AS rule, coalesce(f.best.action, 'al
 FROM split s LEFT JOIN fits f ON s.host = f.host AND s.path = f.path
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op10_url_rules": op10_url_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_ann": op4_ann, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op10_url_rules": op10_url_rules}
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_url_rules": OP10_SQL}
