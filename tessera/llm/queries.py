@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .ann import search
-from .common import sha256_hex
+from .common import crc_mod, sha256_hex
 from .line_dedup import line_dedup
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
@@ -24,6 +25,14 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.filter(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, rule="common", min_docs=10, min_chars=1).select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("kept")).alias("kept_sha256"))
@@ -89,5 +98,5 @@ SELECT page_id, s.host, s.path, f.best.rule AS rule, coalesce(f.best.action, 'al
 FROM split s LEFT JOIN fits f ON s.host = f.host AND s.path = f.path
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_ann": op4_ann, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op10_url_rules": op10_url_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_ann": op4_ann, "op5_toxicity": op5_toxicity, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op10_url_rules": op10_url_rules}
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_url_rules": OP10_SQL}
