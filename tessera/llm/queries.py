@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import kneser_ney, toxicity
 from .ann import search
 from .common import crc_mod, sha256_hex
 from .line_dedup import line_dedup
@@ -75,6 +75,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))
+    model = kneser_ney.train(docs.filter(~held_out))
+    scored = kneser_ney.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 #: (host, path, action)
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -98,5 +106,5 @@ SELECT page_id, s.host, s.path, f.best.rule AS rule, coalesce(f.best.action, 'al
 FROM split s LEFT JOIN fits f ON s.host = f.host AND s.path = f.path
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_ann": op4_ann, "op5_toxicity": op5_toxicity, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op10_url_rules": op10_url_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_ann": op4_ann, "op5_toxicity": op5_toxicity, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op9_kneser_ney": op9_kneser_ney, "op10_url_rules": op10_url_rules}
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_url_rules": OP10_SQL}

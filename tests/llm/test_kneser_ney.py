@@ -1,0 +1,77 @@
+import random
+import re
+from collections import Counter
+from math import log10
+
+import numpy as np
+import pytest
+
+from tessera.llm import kneser_ney as K
+
+
+def words(text):
+    return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")] + ["</s>"]
+
+
+class Brute:
+    def __init__(self, texts):
+        self.uni, self.bi, self.ctx = Counter(), Counter(), Counter()
+        for t in texts:
+            w = words(t)
+            self.uni.update(w)
+            for a, b in zip(["<s>", *w], w):
+                self.bi[a, b] += 1
+                self.ctx[a] += 1
+        self.cont = Counter(b for _, b in self.bi)
+        self.d = K.discounts([sum(c == i for c in self.bi.values()) for i in (1, 2, 3, 4)])
+        self.d1 = K.discounts([sum(c == i for c in self.cont.values()) for i in (1, 2, 3, 4)])
+
+    def low(self, w):
+        cut = lambda c, d: max(c - (0, *d)[min(c, 3)], 0)
+        free = sum(self.d1[min(c, 3) - 1] for c in self.cont.values())
+        return (cut(self.cont[w], self.d1) + free / (len(self.uni) + 1)) / len(self.bi)
+
+    def p(self, a, w):
+        if not self.ctx[a]:
+            return self.low(w)
+        free = sum(self.d[min(c, 3) - 1] for (x, _), c in self.bi.items() if x == a)
+        c = self.bi[a, w]
+        return (max(c - (0, *self.d)[min(c, 3)], 0) + free * self.low(w)) / self.ctx[a]
+
+    def row(self, text):
+        w = words(text)
+        n, v = sum(self.uni.values()), len(self.uni)
+        base = sum(log10((self.uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        return len(w), sum(self.uni[x] > 0 for x in w), base, sum(log10(self.p(a, x)) for a, x in zip(["<s>", *w], w))
+
+
+@pytest.mark.parametrize("held", [4_000_000, 40])
+def test_against_brute_force(spark, held, monkeypatch):
+    monkeypatch.setattr(K, "HELD", held)
+    rng = random.Random(3)
+    vocabulary = ["the", "The", "of", "é", "x,"] * 5 + [f"w{i}" for i in range(60)]
+    texts = [rng.choice([" ", "\n", "\t "]).join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30))) for _ in range(150)] + [None, "", texts0 := "the of " * 30, texts0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).selectExpr("*", "1 AS done", "2 AS score")
+    model = K.train(df.filter("doc_id % 3 <> 0"))
+    brute = Brute([t for i, t in enumerate(texts) if i % 3])
+    assert (model.n, model.v) == (sum(brute.uni.values()), len(brute.uni))
+    assert sum(brute.p("the", w) for w in [*brute.uni, "unknown"]) == pytest.approx(1)
+    out = K.score(df, model)
+    assert out.columns == ["doc_id", "text", "done", "n_tokens", "n_known", "base_score", "score"]
+    for r in out.collect():
+        want = brute.row(r.text)
+        assert (r.n_tokens, r.n_known) == want[:2]
+        assert np.allclose((r.base_score, r.score), want[2:])
+
+
+def test_untrained_and_empty(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    model = K.train(none)
+    assert tuple(K.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), model).first())[2:] == (2, 0, 0.0, 0.0)
+    assert K.score(none, model).count() == 0
+
+
+def test_packing():
+    a = np.array([0, 5, 5, 1 << 40, (1 << 64) - 1], np.uint64)
+    assert (K.unpack_sorted(K.pack_sorted(a), np.uint64) == a).all()
+    assert K.unpack(K.pack(a[:0]), np.uint64).tolist() == []
