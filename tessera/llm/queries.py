@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, toxicity
+from . import decontaminate, html_text, kneser_ney, mixing, topics, toxicity
 from .ann import search
 from .common import crc_mod, sha256_hex
 from .line_dedup import line_dedup
@@ -20,6 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    own = docs.select("doc_id", "source", "lang", topics.form(F.col("text")).alias("topic"), mixing.n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("text_hash"))
+    mixed = mixing.with_probability(own, mixing.fit(own, ["source", "lang", "topic"], alpha=0.7, keep=0.5))
+    return mixed.withColumn("drawn", mixing.drawn(["doc_id", "text_hash"], "probability", seed=17)).drop("text_hash")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.array_sort(F.array_distinct("matches.item_id")).alias("item_ids"), "matches")
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", F.col("extracted").alias("text"))
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     return search(vectors, F.col("vec_id") % 20 == 0, k=20)
@@ -106,5 +123,5 @@ SELECT page_id, s.host, s.path, f.best.rule AS rule, coalesce(f.best.action, 'al
 FROM split s LEFT JOIN fits f ON s.host = f.host AND s.path = f.path
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_ann": op4_ann, "op5_toxicity": op5_toxicity, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op9_kneser_ney": op9_kneser_ney, "op10_url_rules": op10_url_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_decontaminate": op2_decontaminate, "op3_html_text": op3_html_text, "op4_ann": op4_ann, "op5_toxicity": op5_toxicity, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op9_kneser_ney": op9_kneser_ney, "op10_url_rules": op10_url_rules}
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_url_rules": OP10_SQL}
