@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from . import words as W
 from .common import fresh, key_hash, prepare, stored
 
-Q, RATE, SHARD_CHARS = 7, 0.12, 4_000_000
+Q, RATE, SHARD_CHARS = 8, 0.1, 4_000_000
 _OTHER = re.compile(r"[\W_]+")
 BITS = 22
 
@@ -112,18 +112,26 @@ class Index:
         if not enough.any():
             return []
         keep = np.flatnonzero(enough[item])
-        item, diagonal = item[keep], np.repeat(at, n)[keep] - self.place[which[keep]]
-        step = self.edits[item] + 1
-        band = diagonal // step
-        keys, count = np.unique(np.stack([np.concatenate([item, item]), np.concatenate([band, band - 1])]), axis=1, return_counts=True)
+        item, place = item[keep], self.place[which[keep]]
+        # cells of e + 1 diagonals; a band is a cell and the next one
+        cell = (item << 40) + (1 << 39) + (np.repeat(at, n)[keep] - place) // (self.edits[item] + 1)
+        order = np.argsort(cell)
+        cell, place = cell[order], place[order]
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        cells, size = cell[first], np.diff(np.append(first, len(cell)))
+        nexts = np.append(cells[1:] == cells[:-1] + 1, False)
+        count = size + np.where(nexts, np.append(size[1:], 0), 0)
+        # a band may begin with the cell before as well: that is the one before's band, or an empty cell and this one, counted here
+        good = np.flatnonzero(count >= self.least[cells >> 40])
         out, done = [], set()
-        for (i, b), k in zip(keys.T.tolist(), count.tolist()):
-            if i in done or k < self.least[i]:
+        for g in good.tolist():
+            i = int(cells[g] >> 40)
+            if i in done or len(np.unique(place[first[g] : first[g] + count[g]])) < self.least[i]:
                 continue
             e = int(self.edits[i])
-            low = b * (e + 1)
+            low = (int(cells[g] & ((1 << 40) - 1)) - (1 << 39)) * (e + 1)
             start = text.find(self.texts[i], max(0, low), max(0, low + 2 * e + 2) + len(self.texts[i]))
-            edits = 0 if start >= 0 else banded(self.codes[i], c, low, low + 2 * e + 1, e)
+            edits = 0 if start >= 0 else banded(self.codes[i], c, low - e - 1, low + 2 * e + 1, e)
             if edits is not None:
                 done.add(i)
                 out.append({"item_id": self.ids[i], "start": max(0, low) if start < 0 else start, "edits": edits})
