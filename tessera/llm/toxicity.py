@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from . import words as W
 from .common import fresh, prepare, stored
 
-MAX_EXAMPLES, MAX_TERMS, MIN_DOCS, MIN_GAIN = 6000, 3000, 5, 5.0
+MAX_EXAMPLES, MAX_TERMS, MIN_DOCS, MIN_GAIN = 6000, 400, 5, 5.0
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6)
 BIAS, SHARPNESS, NEAREST, BLOCK = 1.0, 8, 15, 64
@@ -129,15 +129,15 @@ class Index:
 
 
 def isotonic(x: np.ndarray, ones: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (mean x, rate) of a non-decreasing fit, each rate smoothed by one success in 1 of 2."""
-    pools: list[list[float]] = []
+    """Pool adjacent violators: knots (both ends of each pool, its rate) of a non-decreasing fit, each rate smoothed by half a success."""
+    pools: list[list[float]] = []  # least x, largest x, ones, count
     for a, o, c in sorted(zip(x.tolist(), ones.tolist(), count.tolist())):
-        pools.append([a * c, o, c])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-            s, o2, c2 = pools.pop()
-            pools[-1] = [pools[-1][0] + s, pools[-1][1] + o2, pools[-1][2] + c2]
-    rate = [(o + 0.5) / (c + 1) for _, o, c in pools]
-    return np.array([s / c for s, _, c in pools]), np.maximum.accumulate(np.array(rate)) if rate else np.zeros(0)
+        pools.append([a, a, o, c])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+            _, high, o2, c2 = pools.pop()
+            pools[-1] = [pools[-1][0], high, pools[-1][2] + o2, pools[-1][3] + c2]
+    rate = np.maximum.accumulate(np.array([(o + 0.5) / (c + 1) for *_, o, c in pools])) if pools else np.zeros(0)
+    return np.array([e for p in pools for e in p[:2]]), np.repeat(rate, 2)
 
 
 def build(rows: pd.DataFrame, examples: pd.DataFrame, kept: np.ndarray, df: np.ndarray) -> Index:
