@@ -57,7 +57,7 @@ def check_unique(new: DataFrame, old: DataFrame | None, table: Table, only: set[
             twice = not own.groupBy(*own.columns).count().filter("count > 1").isEmpty()
             if not twice and old is not None:
                 there = old.select(*(c.alias(f"k{i}") for i, c in enumerate(cols))).dropna()
-                twice = not own.join(there, own.columns, "left_semi").isEmpty()
+                twice = not there.join(own, own.columns, "left_semi").isEmpty()  # the batch is the side that can be broadcast
         if twice:
             raise ExecutionError(f"{', '.join(names)} must be unique")
 

@@ -101,16 +101,18 @@ def update(store: Store, catalog: Catalog, database: Database, table: Table, ass
             raise TypeMismatch(f"{c.type} in column {name}", x.type)
         new[c.name] = x.column.cast(t.to_spark(c.type))
     hit = F.coalesce(predicate(where, scope), F.lit(False)) if where is not None else F.lit(True)
-    values = [F.when(hit, new[n]).otherwise(quoted(n)).alias(n) if n in new else quoted(n) for n in (c.name for c in table.columns)]
-    out = df.select(*(v.alias(c.name, metadata={t.METADATA: t.to_json(c.type)}) for v, c in zip(values, table.columns)), RID, _any(~quoted(n).eqNullSafe(new[n]) & hit for n in new).alias("_changed"))
+    values = [F.when(hit, new[c.name]).otherwise(quoted(c.name)) if c.name in new else quoted(c.name) for c in table.columns]
+    changed = _any(~quoted(n).eqNullSafe(new[n]) & hit for n in new)
+    cols = [v.alias(c.name, metadata={t.METADATA: t.to_json(c.type)}) for v, c in zip(values, table.columns)]
     with evaluating():
-        n = out.filter("_changed").count()
+        n = df.filter(changed).count()
     if not n:
         return 0
-    check_rows(out.filter("_changed"), table)
-    check_unique(out, None, table, seen)
+    check_rows(df.filter(changed).select(*cols, RID), table)
+    check_unique(df.select(*cols, RID), None, table, seen)
     with evaluating():
-        store.replace(database, table, out.drop("_changed"))
+        segments = store.touched(table, df.filter(changed))
+        store.replace(database, table, store.read(table, segments).select(*cols, RID), segments)
     catalog.commit()
     return n
 
@@ -132,6 +134,7 @@ def delete(store: Store, catalog: Catalog, database: Database, table: Table, whe
         if where is None:
             table.segments = []
         else:
-            store.replace(database, table, df.filter(~hit))
+            segments = store.touched(table, df.filter(hit))
+            store.replace(database, table, store.read(table, segments).filter(~hit), segments)
     catalog.commit()
     return n

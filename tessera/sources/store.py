@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import types as t
-from ..operators.relational import RID, scan
+from ..operators.relational import RID
 from ..plans.bind import quoted
 from .catalog import Catalog, Column, Database, Table
 
@@ -20,10 +20,11 @@ class Store:
         out = T.StructType([T.StructField(c.name, t.to_spark(c.type), True, {t.METADATA: t.to_json(c.type)}) for c in table.columns])
         return out.add(RID, "long")
 
-    def read(self, table: Table) -> DataFrame:
-        """The snapshot under the columns' present names, and RID."""
+    def read(self, table: Table, segments: list[str] | None = None) -> DataFrame:
+        """The snapshot, or some segments of it, under the columns' present names, and RID."""
         physical = T.StructType([T.StructField(c.physical, t.to_spark(c.type)) for c in table.columns]).add(RID, "long")
-        df = self.spark.read.schema(physical).parquet(*table.segments) if table.segments else self.spark.createDataFrame([], physical)
+        segments = table.segments if segments is None else segments
+        df = self.spark.read.schema(physical).parquet(*segments) if segments else self.spark.createDataFrame([], physical)
         return df.select(*(F.col(c.physical).alias(c.name, metadata={t.METADATA: t.to_json(c.type)}) for c in table.columns), RID)
 
     def write(self, database: Database, table: Table, df: DataFrame) -> str:
@@ -34,11 +35,18 @@ class Store:
         df.select(*(quoted(c.name).alias(c.physical) for c in table.columns), RID).write.parquet(path)
         return path
 
-    def scan_segment(self, path: str) -> DataFrame:
-        return scan(self.spark, path)
-
-    def replace(self, database: Database, table: Table, df: DataFrame) -> None:
-        table.segments = [self.write(database, table, df)]
+    def touched(self, table: Table, rows: DataFrame) -> list[str]:
+        """The segments that rows of the snapshot come from."""
+        if len(table.segments) < 2:
+            return list(table.segments)
+        of = F.regexp_extract(F.input_file_name(), r"/(v\d+)/[^/]*$", 1).alias("v")
+        found = {r.v for r in rows.select(of).distinct().collect()}  # at most a row for each segment
+        return [s for s in table.segments if s.rsplit("/", 1)[-1] in found]
+
+    def replace(self, database: Database, table: Table, df: DataFrame, segments: list[str] | None = None) -> None:
+        """df in place of some segments, or of all."""
+        gone = set(table.segments if segments is None else segments)
+        table.segments = [*(s for s in table.segments if s not in gone), self.write(database, table, df)]
 
     def drop(self, database: Database, table: Table | None = None) -> None:
         self.catalog.files.delete(self.catalog.folder(database, table))
