@@ -16,7 +16,8 @@ Defined results: words are runs of anything but [\\x20\\x09-\\x0D], A-Z folded;
 empty: the end token alone. Without training texts V is 0 and every score is 0. Repeated rows are counted and scored as often as they
 occur; a null doc_id changes nothing. Other columns go through unchanged; `n_tokens`, `n_known`, `base_score` and `score` are replaced.
 
-The shared folder must be mounted where executors run (file:), since workers map its files.
+The shared folder must be mounted where executors run (file:), since workers map its files. Ids have 32 bits: a vocabulary of 2 ** 32 words or more is an
+error, not a wrong model.
 """
 
 from __future__ import annotations
@@ -308,6 +309,8 @@ def train(docs: DataFrame) -> Model:
         return Model(path, np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64))
     size = np.array([parts[r]["n"] if r in parts else 0 for r in range(n)])
     model = Model(path, edges, size, np.zeros(0, U), np.zeros(0, np.int64), n=sum(r["tokens"] for r in parts.values()))
+    if model.v >= (1 << 32) - 1:
+        raise ValueError("more distinct words than ids of 32 bits")
     r = int(np.searchsorted(edges, U(END), "right")) - 1
     place = int(np.searchsorted(_part(path, "word-keys", r, U), U(END)))
     model.docs = int(_part(path, "word-counts", r, np.int64)[place])
