@@ -31,7 +31,7 @@ def test_terms_count():
 def test_index_is_exact():
     rng = np.random.default_rng(0)
     kept = np.sort(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
-    rows = [(d, int(kept[t].view(np.int64) if False else np.int64(kept[t])), int(rng.integers(1, 5))) for d in range(700) for t in rng.choice(60, rng.integers(0, 8), replace=False)]
+    rows = [(d, int(kept[t]), int(rng.integers(1, 5))) for d in range(700) for t in rng.choice(60, rng.integers(0, 8), replace=False)]
     rows = pd.DataFrame(rows, columns=["doc_id", "term", "tf"])
     examples = pd.DataFrame({"doc_id": np.arange(700), "label": rng.integers(0, 2, 700)})
     df = np.full(60, 50.0)
