@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import fresh, prepare, stored
+from .common import discard, fresh, prepare, stored
 
 LENGTH, GRAM = 50, 10
 ONE, TWO = 0xA24BAED4963EE407, 0x9FB21C651E98DF25
@@ -93,17 +93,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         raise ValueError("gram must lie between 1 and length")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     seeds = stored(own.mapInArrow(_anchors(length, gram), "doc_id long, text_hash long, anchor long, e1 long, e2 long, lo int, hi int"), "anchors")
-    shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
-    seeds = stored(seeds.join(shared, "anchor", "left_semi"), "shared")
+    shared = stored(seeds.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor"), "shared")
+    every, seeds = seeds, stored(seeds.join(shared, "anchor", "left_semi"), "seeds")
+    discard(every, shared)
     kinds = stored(seeds.groupBy("anchor", "e1", "e2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "envelopes")
     unlike = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", F.lit(True).alias("unlike"))
     kinds = kinds.join(unlike, "anchor", "left").filter("least < most OR unlike").select("e1", "e2", "least", F.coalesce("unlike", F.lit(False)).alias("unlike"))
     met = stored(seeds.select("doc_id", "text_hash", "e1", "e2", "lo", "hi").join(kinds, ["e1", "e2"]).filter("doc_id > least OR unlike").select("doc_id", "text_hash", "lo", "hi", (F.col("doc_id") > F.col("least")).alias("covered")), "met")
+    discard(seeds)
     extend = met.filter("NOT covered").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("ends"))
     texts = own.join(extend, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "ends")
     windows = stored(texts.mapInArrow(_windows(length), "doc_id long, text_hash long, w1 long, w2 long, start int"), "windows")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w1", "w2", "least")
-    late = windows.join(least, ["w1", "w2"]).filter("doc_id > least")
+    least = stored(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w1", "w2", "least"), "least")
+    late = stored(windows.join(least, ["w1", "w2"]).filter("doc_id > least").select("doc_id", "text_hash", "start"), "late")
+    discard(windows, least)
     covered = met.filter("covered").select("doc_id", "text_hash", "lo", (F.col("hi") + length).alias("end"))
     covered = covered.unionByName(late.select("doc_id", "text_hash", F.col("start").alias("lo"), (F.col("start") + length).alias("end")))
     return covered.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "end")).alias("parts"))
