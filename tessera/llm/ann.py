@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import key_hash, partitions, prepare, stored
 
-TABLES, PROBES, SEED = 16, 4, 11
+TABLES, PROBES, SEED = 16, 8, 11
+#: Found rows that a task holds before it keeps each query's best only.
+HELD = 400_000
 #: Columns of both sides of a bucket; query rows sort behind the bucket's classes.
 ROW = "bucket long, part int, is_query boolean, h1 long, h2 long, least long, v array<double>"
 
@@ -96,10 +98,24 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, x)
 
 
+def _pruned(rows: list[list[np.ndarray]], most: int) -> list[np.ndarray]:
+    """q1, q2, c1, c2, least, score: each query's best classes, each class once."""
+    cols = [np.concatenate(x) for x in zip(*rows)]
+    o = np.lexsort(cols[3::-1])
+    cols = [x[o] for x in cols]
+    cols = [x[np.append(True, np.logical_or.reduce([y[1:] != y[:-1] for y in cols[:4]]))] for x in cols]
+    o = np.lexsort((cols[4], -cols[5], cols[1], cols[0]))
+    cols = [x[o] for x in cols]
+    turn = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
+    at = np.flatnonzero(turn)
+    rank = np.arange(len(turn)) - np.repeat(at, np.diff(np.append(at, len(turn))))
+    return [x[rank < most] for x in cols]
+
+
 def _best(k: int):
     most = k + 8
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(it: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         place, parts, x, ids = None, [], None, None
         for batch in it:
             bucket, part = (batch.column(c).to_numpy() for c in ("bucket", "part"))
@@ -122,7 +138,24 @@ def _best(k: int):
                 n = min(most, len(x))
                 top = np.argpartition(-score, n - 1, axis=1)[:, :n]
                 q, c = np.repeat(np.arange(len(v)), n), top.ravel()
-                yield pa.record_batch([pa.array(y) for y in (h[a:b][q, 0], h[a:b][q, 1], ids[c, 0], ids[c, 1], ids[c, 2], exact(v[q], x[c]))], names=["q1", "q2", "c1", "c2", "least", "score"])
+                yield [h[a:b][q, 0], h[a:b][q, 1], ids[c, 0], ids[c, 1], ids[c, 2], exact(v[q], x[c])]
+
+    def out(rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(y) for y in rows], names=["q1", "q2", "c1", "c2", "least", "score"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for rows in found(it):
+            held.append(rows)
+            n += len(rows[0])
+            if n > HELD:
+                held = [_pruned(held, most)]
+                n = len(held[0][0])
+                if n > HELD // 2:  # as many queries: the rest is for the grouping that follows
+                    yield out(held[0])
+                    held, n = [], 0
+        if held:
+            yield out(_pruned(held, most))
 
     return run
 
