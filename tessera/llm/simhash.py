@@ -184,10 +184,11 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         if not now[0]:
             break
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # minima are stored: a join of two plain tables can split the rows of a hub, one with a grouping below cannot
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.distinct(), "large")
-        small_min = large.groupBy("a").agg(F.min("b").alias("m"))
+        small_min = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(small_min, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         star = stored(small.unionByName(small_min.select("a", F.col("m").alias("b"))).filter(F.col("a") != F.col("b")).distinct(), "star")
         before, now = now, mark(star)
