@@ -11,7 +11,13 @@ Components come from alternating large-star and small-star steps, each written t
 
 Defined results: a null text is like an empty one, fingerprint zero. Rows with equal fingerprints share a component; a component's id
 is its smallest doc_id that isn't null, null if it has none. Repeated rows come out as often as they went in. An empty table gives an
-empty table. near_dedup() keeps of each component the row with the smallest (doc_id, nulls last; hash of the text), once.
+empty table.
+
+near_dedup() has parameters of its own: texts are near copies if the sets of their runs of five words (ASCII case folded) have a
+Jaccard similarity of 0.8 or more; a text of one to four words is one run, texts without words are alike. Equal sets are folded, sets that share a
+band of minima become candidates, and inside each connected group of candidates components are found by exact similarity (of 64-bit hashes of runs).
+Groups of more than `chunk` sets are cut into parts as above. It keeps of each component the row with the smallest (doc_id, nulls last; hash of the
+text), once.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, partitions, prepare, stored
+from . import words as W
+from .common import discard, fresh, partitions, prepare, stored
 
 RADIUS = 4
 SHINGLE = 4
@@ -35,6 +42,9 @@ SEED = 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
 PIVOTS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 16, dtype=np.uint64, endpoint=False)
 BLOCK = 1 << 16
+#: near_dedup(): least similarity, words in a shingle, bands and minima in a band: a pair at 0.8 shares no band with probability 3e-6.
+NEAR, NEAR_SHINGLE, BANDS, ROWS = 0.8, 5, 24, 4
+MINIMA = np.random.Generator(np.random.PCG64(23)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes) -> int:
@@ -220,11 +230,141 @@ def simhash_groups(docs: DataFrame, chunk: int = 4096) -> DataFrame:
     return slim.join(groups(slim, chunk), "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, chunk: int = 4096) -> DataFrame:
-    """The rows of docs that stay, one for each component; columns as they were."""
+def _shingled(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of NEAR_SHINGLE words; a text of fewer words is one run."""
+    for _, _, data, at in W.chunks(texts):
+        words = W.split(data, at, fold=True)
+        h = words.hashes()
+        runs = W.rolling(h, NEAR_SHINGLE)
+        n = np.diff(words.first)
+        short = W.spans(h, words.first[:-1], words.first[1:], 0x9E6C63D0876A9A47)
+        for k, (a, m) in enumerate(zip(words.first.tolist(), n.tolist())):
+            yield np.unique(runs[a : a + m - NEAR_SHINGLE + 1]) if m >= NEAR_SHINGLE else short[k : k + min(m, 1)]
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    at = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, W.U), *rows]).view(np.int64)))
+
+
+def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sid (hash of the set, 0 if empty), n (its size) and keys (hashes of each band's minima) of texts."""
+    for batch in it:
+        sid, n, keys, held = [], [], [], []
+
+        def flush() -> None:
+            some = [x for x in held if len(x)]
+            out = iter(())
+            if some:
+                flat, at = np.concatenate(some), np.cumsum([0, *map(len, some[:-1])])
+                ids = W.mix(np.add.reduceat(W.mix(flat ^ W.U(SEED)), at))
+                least = np.stack([np.minimum.reduceat(flat * m, at) for m in MINIMA], axis=1).reshape(len(some), BANDS, ROWS)
+                band = np.arange(BANDS, dtype=W.U) * W.U(0x9E3779B97F4A7C15) + W.U(1)
+                for r in range(ROWS):
+                    band = W.mix(band * W.U(0xD6E8FEB86659FD93) + least[:, :, r])
+                out = zip(ids, band)
+            for x in held:
+                i, k = next(out) if len(x) else (W.U(0), np.zeros(0, W.U))
+                sid.append(i)
+                n.append(len(x))
+                keys.append(k)
+            held.clear()
+
+        for x in _shingled(batch.column("text")):
+            held.append(x)
+            if sum(map(len, held)) > BLOCK or len(held) == 64:
+                flush()
+        flush()
+        cols = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(sid, W.U).view(np.int64)), pa.array(n, pa.int64()), _lists(keys)]
+        yield pa.record_batch(cols, names=["doc_id", "text_hash", "sid", "n", "keys"])
+
+
+def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        cols = [batch.column("doc_id"), batch.column("text_hash"), _lists(list(_shingled(batch.column("text"))))]
+        yield pa.record_batch(cols, names=["doc_id", "text_hash", "shingles"])
+
+
+def joined(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of places with Jaccard similarity NEAR or more that connect each component; sets hold distinct values, none is empty."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    size = np.array([len(sets[i]) for i in order])
+    first = np.cumsum([0, *size])
+    _, code = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    mark, fresh_ones, out = np.zeros(code.max() + 1, bool), np.ones(len(size), bool), []
+    for start in range(len(size)):
+        if not fresh_ones[start]:
+            continue
+        fresh_ones[start] = False
+        queue = [start]
+        while queue and fresh_ones.any():
+            i = queue.pop()
+            low, high = np.searchsorted(size, NEAR * size[i] - 1e-6), np.searchsorted(size, size[i] / NEAR + 1e-6, "right")
+            if not fresh_ones[low:high].any():
+                continue
+            own = code[first[i] : first[i + 1]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[code[first[low] : first[high]]], first[low:high] - first[low], dtype=np.int64)
+            mark[own] = False
+            near = low + np.flatnonzero((shared >= NEAR * (size[low:high] + size[i] - shared) - 1e-9) & fresh_ones[low:high])
+            fresh_ones[near] = False
+            queue += near.tolist()
+            out += [(int(order[i]), int(order[j])) for j in near]
+    return out
+
+
+def _near_links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, ids, sets = None, [], []
+
+    def out() -> pa.RecordBatch:
+        pairs = joined(sets) if len(sets) > 1 else []
+        return pa.record_batch([pa.array([ids[k[side]] for k in pairs], pa.int64()) for side in (0, 1)], names=["a", "b"])
+
+    for batch in it:
+        shingles = batch.column("shingles")
+        for k, (t, sid) in enumerate(zip(batch.column("task").to_pylist(), batch.column("sid").to_pylist())):
+            if t != task:
+                yield out()
+                task, ids, sets = t, [], []
+            ids.append(sid)
+            sets.append(shingles[k].values.to_numpy())
+    yield out()
+
+
+def near_links(docs: DataFrame, each: DataFrame, chunk: int, most: int = 1 << 19) -> DataFrame:
+    """a, b: links between sets (sid) of similarity NEAR or more, enough to connect each component. each: one row (sid, doc_id, text_hash, n, keys) a set."""
+    spark = docs.sparkSession
+    keyed = stored(each.select("sid", F.explode("keys").alias("key")), "bands")
+    least = stored(keyed.groupBy("key").agg(F.min("sid").alias("m"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key", "m"), "least")
+    rough = components(keyed.join(least, "key").filter(F.col("sid") != F.col("m")).select(F.col("sid").alias("a"), F.col("m").alias("b")))
+    members = stored(rough.withColumnRenamed("node", "sid").join(each.drop("keys"), "sid"), "candidates")
+    discard(keyed, least)
+    # shingles are made anew for candidates alone; a table of 2^24 bits keeps most other texts from the shuffle
+    word, bit = F.shiftrightunsigned("text_hash", 46), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("text_hash", 40).bitwiseAND(63).cast("int"))
+    some = members.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = texts.withColumn("word", word).join(F.broadcast(some), "word").filter(F.col("bits").bitwiseAND(bit) != 0).select("doc_id", "text_hash", "text")
+    sets = texts.mapInArrow(_sets, "doc_id long, text_hash long, shingles array<long>").withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+    sets = stored(sets.join(members, (F.col("h") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("sid", "label", "shingles"), "sets")
+    full = members.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("n") / most)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
+    dealt = sets.join(full, "label").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.filter((F.col("part") != F.col("other")) | (F.col("parts") == 1))
+    task = F.xxhash64("label", F.least("part", "other"), F.greatest("part", "other"))
+    by_task = dealt.select("sid", "shingles", task.alias("task")).repartition(partitions(spark), "task").sortWithinPartitions("task")
+    return by_task.mapInArrow(_near_links, "a long, b long")
+
+
+def near_dedup(docs: DataFrame, chunk: int = 1024) -> DataFrame:
+    """The rows of docs that stay, one for each component of similar texts; columns as they were."""
     prepare(docs.sparkSession)
-    slim = _slim(docs)
-    best = slim.join(groups(slim, chunk), "fp").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    slim = slim.mapInArrow(_signatures, "doc_id long, text_hash long, sid long, n long, keys array<long>")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n", "keys")
+    each = stored(slim.groupBy("sid").agg(F.min(row).alias("row")).select("sid", "row.*"), "distinct")
+    labels = components(near_links(docs, each.drop("none"), chunk)).withColumnRenamed("node", "sid")
+    labelled = each.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    best = labelled.groupBy("label").agg(F.min(F.struct("none", "doc_id", "text_hash")).alias("best"))
     key, of = fresh("key", docs), fresh("of", docs)
 
     def named(*cols: Column) -> Column:
