@@ -2,9 +2,10 @@
 
 A vector is hashed in each table by a pseudo-rotation (three rounds of random signs and a fast Hadamard transform) to the
 nearest of the signed axes. Every vector is indexed in all tables; a query probes in each table the axes that its rotated vector
-points at most. Candidates of a bucket are scored exactly, in double precision, and the best of each bucket go on. Where norms differ,
-vectors get one more coordinate that makes all norms equal, so that angle order is inner-product order. Queries with fewer than k
-candidates found are compared with all rows, in blocks.
+points at most. Candidates of a bucket are scored exactly, in double precision, and the best of each bucket go on. Directions alone are hashed,
+whatever the norms; a sample of queries is compared with all rows first, and its true neighbours, found by inner product, tell how many probes it
+takes to meet a share `recall` of them. Where so many probes would move more rows than a comparison with all rows, and for queries with
+fewer than k candidates found, all rows are compared, in blocks.
 
 Equal vectors are one class: hashed, probed and scored once, with the k + 1 smallest ids as members, which is all that an answer
 can hold. A bucket is cut into parts of about `chunk` classes; a task holds one part and streams the queries past it.
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import key_hash, partitions, prepare, stored
 
-TABLES, PROBES, SEED = 16, 8, 11
+#: Probes are at least PROBES, and as many as RECALL takes on SAMPLE query classes.
+TABLES, PROBES, SEED, RECALL, SAMPLE = 16, 8, 11, 0.95, 128
 #: Found rows that a task holds before it keeps each query's best only.
 HELD = 400_000
 #: Columns of both sides of a bucket; query rows sort behind the bucket's classes.
@@ -55,6 +57,10 @@ def rotated(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
+def directions(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
     """The nearest signed axes, nearest first: 2 * axis + (1 for the positive end)."""
     r = rotated(x, table)
@@ -71,16 +77,12 @@ def _vectors(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat.reshape(len(rows), d)
 
 
-def _hashed(tables: int, probes: int, longest: float | None, is_query: bool):
+def _hashed(tables: int, probes: int, is_query: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             h1, h2, least = (batch.column(k).to_numpy() for k in ("h1", "h2", "least"))
             for rows, x in _vectors(batch.column("v")):
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                unit = x / norm
-                if longest:
-                    more = np.zeros_like(norm) if is_query else np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2))
-                    unit = np.hstack([unit if is_query else x / longest, more])
+                unit = directions(x)
                 for t in range(tables):
                     key = axes(unit, t, probes)
                     n = key.shape[1]
@@ -160,11 +162,11 @@ def _best(k: int):
     return run
 
 
-def _search(index: DataFrame, asked: DataFrame, k: int, tables: int, probes: int, longest: float | None, chunk: int) -> DataFrame:
+def _search(index: DataFrame, asked: DataFrame, k: int, tables: int, probes: int, chunk: int) -> DataFrame:
     """q1, q2, c1, c2, score: the best classes of each query class."""
     spark = index.sparkSession
-    rows = index.mapInArrow(_hashed(tables, 1, longest, False), ROW)
-    ask = asked.mapInArrow(_hashed(tables, probes, longest, True), ROW)
+    rows = index.mapInArrow(_hashed(tables, 1, False), ROW)
+    ask = asked.mapInArrow(_hashed(tables, probes, True), ROW)
     # at most tables x 2 x dimensions buckets
     parts = F.broadcast(rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts")))
     rows = rows.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).cast("int")).drop("parts")
@@ -175,6 +177,57 @@ def _search(index: DataFrame, asked: DataFrame, k: int, tables: int, probes: int
     return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).select("q1", "q2", "c1", "c2", "score")
 
 
+def _nearest(sample: list[np.ndarray], most: int):
+    """The task's best `most` classes for each vector of sample."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[np.ndarray]] = {}
+        for batch in it:
+            h1, h2, copies = (batch.column(k).to_numpy() for k in ("h1", "h2", "copies"))
+            for rows, x in _vectors(batch.column("v")):
+                for q, v in enumerate(sample):
+                    if len(v) != x.shape[1]:
+                        continue
+                    score = x @ v
+                    top = np.argpartition(-score, most - 1)[:most] if len(score) > most else np.arange(len(score))
+                    new = [score[top], h1[rows[top]], h2[rows[top]], copies[rows[top]], x[top]]
+                    if q in best:
+                        new = [np.concatenate(y) for y in zip(best[q], new)]
+                        top = np.argsort(-new[0], kind="stable")[:most]
+                        new = [y[top] for y in new]
+                    best[q] = new
+        for q, (score, *cols, x) in best.items():
+            yield pa.record_batch([pa.array(np.full(len(score), q, np.int32)), pa.array(score), *map(pa.array, cols), pa.array(list(x), pa.list_(pa.float64()))], names=["q", "score", "h1", "h2", "copies", "v"])
+
+    return run
+
+
+def fitted(index: DataFrame, asked: DataFrame, k: int, tables: int, probes: int) -> tuple[int, int]:
+    """(tables, probes) by which the sample meets a share RECALL of its answers: probes as given or more, or one table with all axes probed."""
+    sample = asked.orderBy("h1", "h2").limit(SAMPLE).collect()
+    found = index.mapInArrow(_nearest([np.array(r.v) for r in sample], k + 1), "q int, score double, h1 long, h2 long, copies long, v array<double>")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "h1", "h2")
+    near: dict[int, list] = {}
+    for r in sorted(found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).collect(), key=lambda r: (r.q, r.n)):
+        near.setdefault(r.q, []).append(r)
+    depth, weight, most = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for q, rows in near.items():
+        copies = np.array([r.copies - ((r.h1, r.h2) == (sample[q].h1, sample[q].h2)) for r in rows])
+        least, x, v = np.full(len(rows), 1 << 30), directions(np.array([r.v for r in rows])), directions(np.array([sample[q].v]))
+        for t in range(tables):
+            rank = np.argsort(axes(v, t, 1 << 30)[0])
+            least = np.minimum(least, rank[axes(x, t, 1)[:, 0]])
+            most = max(most, len(rank))
+        depth.append(least)
+        weight.append(np.diff(np.minimum(np.cumsum(np.append(0, copies)), k)))
+    depth, weight = np.concatenate(depth), np.concatenate(weight)
+    met = np.cumsum(np.bincount(depth, weight, most))
+    needed = 1 + int(np.searchsorted(met, RECALL * weight.sum())) if weight.sum() else probes
+    if needed <= probes:
+        return tables, probes
+    return (tables, needed) if tables * needed < most else (1, 1 << 30)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES, chunk: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of vectors (vec_id, v) for which is_query holds."""
     spark = vectors.sparkSession
@@ -185,15 +238,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABL
     ids = every.select("vec_id", "h1", "h2").distinct()
     order = Window.partitionBy("h1", "h2").orderBy("vec_id")
     members = stored(ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n"), "members")
-    firsts = members.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"))
+    firsts = members.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
     # vectors without ids repeated: the row of the smallest id
-    index = stored(every.join(firsts, ["h1", "h2", "vec_id"], "left_semi").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.col("vec_id").alias("least"), "v"), "classes")
+    index = stored(every.join(firsts, ["h1", "h2", "vec_id"]).dropDuplicates(["h1", "h2"]).select("h1", "h2", F.col("vec_id").alias("least"), "v", "copies"), "classes")
     asking = every.filter("asks").select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
     asked = index.join(asking.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    low, high = index.agg(F.min(norm), F.max(norm)).first()
-    longest = high if high is not None and high - low > 1e-3 * high else None
-    top = stored(_search(index, asked, k, tables, probes, longest, chunk), "top")
+    tables, probes = fitted(index, asked, k, tables, probes)
+    top = stored(_search(index, asked, k, tables, probes, chunk), "top")
 
     def answers(top: DataFrame) -> DataFrame:
         near = top.join(members.withColumnsRenamed({"h1": "c1", "h2": "c2"}), ["c1", "c2"])
@@ -208,5 +259,5 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABL
     again = asked.join(few.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
     if few.isEmpty():
         return found
-    whole = answers(_search(index, again, k, 1, 1 << 30, longest, chunk)).join(few.select("query_id"), "query_id", "left_semi")
+    whole = answers(_search(index, again, k, 1, 1 << 30, chunk)).join(few.select("query_id"), "query_id", "left_semi")
     return found.join(few.select("query_id"), "query_id", "left_anti").unionByName(whole)

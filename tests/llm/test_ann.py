@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ann as A
@@ -60,3 +61,26 @@ def test_norms_that_differ(spark):
 
 def test_empty(spark):
     assert A.search(spark.createDataFrame([], "vec_id long, v array<float>"), F.col("vec_id") > 0).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["one outlier", "lognormal 0.3", "lognormal 1", "hot outlier"])
+def test_unequal_norms_with_production_parameters(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "one outlier":
+        x[77] *= 5
+    elif kind == "hot outlier":
+        x[1900:] = x[77] * 5
+    else:
+        x *= rng.lognormal(0, float(kind.split()[1]), (2000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>").repartition(4)
+    got = {}
+    for r in A.search(df, F.col("vec_id") % 20 == 0, k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 2000, 20):
+        score = x @ x[q]
+        want = sorted((-round(float(v), 12), i) for i, v in enumerate(score) if i != q)[:20]
+        hits += len({i for _, i in want} & got[q])
+    assert hits / (100 * 20) >= 0.9
