@@ -86,3 +86,13 @@ def test_frames(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((i for i, m in want if not m), key=repr)
     assert D.clean(docs, bench.limit(0)).count() == len(rows)
     assert D.clean(docs.limit(0), bench).count() == 0
+
+
+def test_twelve_percent_edits_are_found():
+    rng = random.Random(12)
+    for m in (200, 400, 900):
+        item = "".join(rng.choice("etaoinshr") for _ in range(m))
+        text = list(item)
+        for at in rng.sample(range(m), int(0.12 * m)):
+            text[at] = rng.choice("xyzqj")
+        assert D.Index([(1, item)], D.Q, D.RATE).matches("before " + "".join(text) + " after")
