@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from .ddl import Constraint, Position
 from .expr import Expr
-from .sources.catalog import Column
+from .sources.catalog import Column, TableKey
 from .statement import Statement
 from .types import DataType
 
@@ -80,8 +80,11 @@ class ShowDatabases(Command):
 
 @dataclass
 class CreateTable(Command):
+    """keys: constraints of several columns."""
+
     name: str
     columns: Sequence[Column]
+    keys: Sequence[TableKey] = ()
 
 
 @dataclass

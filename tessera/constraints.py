@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .errors import ExecutionError, MetadataError, evaluating
 from .expr import Expr, columns_in
-from .operators.relational import RID, scope_of
+from .operators.relational import scope_of
 from .plans.bind import bind, quoted
 from .sources.catalog import Table
 
@@ -60,7 +60,3 @@ def check_unique(new: DataFrame, old: DataFrame | None, table: Table, only: set[
                 twice = not there.join(own, own.columns, "left_semi").isEmpty()  # the batch is the side that can be broadcast
         if twice:
             raise ExecutionError(f"{', '.join(names)} must be unique")
-
-
-def hidden(df: DataFrame) -> DataFrame:
-    return df.drop(RID)

@@ -14,7 +14,7 @@ from .errors import ColumnAlreadyExists, MetadataError, evaluating
 from .expr import Lit, columns_in, renamed
 from .functions.values import cast_expr
 from .plans.bind import literal, quoted
-from .sources.catalog import Auto, Catalog, Column, Database, Table
+from .sources.catalog import Auto, Catalog, Column, Database, Table, TableKey
 from .sources.store import Store
 
 
@@ -34,8 +34,8 @@ class Position:
     after: str | None = None
 
 
-def create(store: Store, catalog: Catalog, database: Database, name: str, columns: list[Column]) -> Table:
-    table = Table(catalog.new_id(), name, [])
+def create(store: Store, catalog: Catalog, database: Database, name: str, columns: list[Column], keys: list[TableKey] = ()) -> Table:
+    table = Table(catalog.new_id(), name, [], deepcopy(list(keys)))
     for c in deepcopy(columns):
         c.id, table.next_column = table.next_column, table.next_column + 1
         table.columns.append(c)

@@ -34,14 +34,19 @@ def insert(store: Store, catalog: Catalog, database: Database, table: Table, row
                 values[i] = c.default.value
             t.check(values[i], c.type, c.name)
             values[i] = bytes(values[i]) if isinstance(values[i], bytearray) else values[i]
-        full.append((*values, table.next_rid + len(full)))
+        full.append((*values, (table.next_insert, len(full))))
     df = store.spark.createDataFrame(full, store.schema(table), verifySchema=False)
-    _publish(store, catalog, database, table, df, counters, table.next_rid + len(full))
+    _check(store, table, df)
+    with evaluating():
+        segment = store.write(database, table, df)
+    _publish(catalog, table, segment, counters)
     return len(full)
 
 
 def insert_frame(store: Store, catalog: Catalog, database: Database, table: Table, df: DataFrame) -> int:
-    """As insert, of a DataFrame with columns by name; columns that it lacks are null. Runs as a whole on the executors."""
+    """As insert, of a DataFrame with columns by name; columns that it lacks are null. Runs as a whole on the executors.
+
+    The rows are written once, checked as they were written, and that segment becomes part of the table; only AUTO numbers make a second one."""
     scope = scope_of(df)
     for name, kind, _ in scope.fields:
         want = table.column(name).type
@@ -49,24 +54,27 @@ def insert_frame(store: Store, catalog: Catalog, database: Database, table: Tabl
             raise TypeMismatch(f"{want} in column {name}", kind)
     have = {name.lower(): name for name, *_ in scope.fields}
     cols = {c.name: (quoted(have[c.name.lower()]) if c.name.lower() in have else F.lit(None)).cast(t.to_spark(c.type)) for c in table.columns}
-    full = df.select(*(F.coalesce(x, literal(c.default)).alias(n) if (c := table.column(n)).default else x.alias(n) for n, x in cols.items()), (F.monotonically_increasing_id() + table.next_rid).alias(RID))
-    path = store.write(database, table, full)  # the numbering below needs rows that stay as they are
-    staged = Table(table.id, table.name, table.columns, segments=[path])
-    full, counters = store.read(staged), dict(table.counters)
-    for c in (c for c in table.columns if c.auto):
-        full, used = _numbered(full, c.name, counters.get(str(c.id), c.auto.start), c.auto.step)
-        counters[str(c.id)] = counters.get(str(c.id), c.auto.start) + used * c.auto.step
-    if any(c.auto for c in table.columns):
-        full = store.read(Table(table.id, table.name, table.columns, segments=[store.write(database, table, full)]))
-    n, last = full.agg(F.count(F.lit(1)), F.max(RID)).first()
+    full = df.select(*(F.coalesce(x, literal(c.default)).alias(n) if (c := table.column(n)).default else x.alias(n) for n, x in cols.items()), F.struct(F.lit(table.next_insert).cast("long").alias("seq"), F.monotonically_increasing_id().alias("row")).alias(RID))
+    with evaluating():
+        segment = store.write(database, table, full)
+        full, counters, numbered = store.read(table, [segment]), dict(table.counters), False
+        for c in (c for c in table.columns if c.auto):
+            more, used = _numbered(full, c.name, counters.get(str(c.id), c.auto.start), c.auto.step)
+            counters[str(c.id)] = counters.get(str(c.id), c.auto.start) + used * c.auto.step
+            full, numbered = (more, True) if used else (full, numbered)
+        if numbered:
+            segment = store.write(database, table, full)
+            full = store.read(table, [segment])
+        n = full.count()
     if n:
-        _publish(store, catalog, database, table, full, counters, last + 1)
+        _check(store, table, full)
+        _publish(catalog, table, segment, counters)
     return n
 
 
 def _numbered(df: DataFrame, name: str, start: int, step: int) -> tuple[DataFrame, int]:
-    """Nulls of a column numbered in RID order, without all rows in one task: RIDs of one writing task share their upper bits."""
-    block = F.shiftright(RID, 33).alias("block")
+    """Nulls of a column numbered in RID order, without all rows in one task: RIDs of one writing task share all but the lower bits."""
+    block = F.struct(F.col(f"{RID}.seq"), F.shiftright(F.col(f"{RID}.row"), 33)).alias("block")
     empty = df.filter(quoted(name).isNull()).select(RID, block)
     sizes = empty.groupBy("block").count()
     before = sizes.select("block", (F.sum("count").over(Window.orderBy("block")) - F.col("count")).alias("before"))  # a row for each writing task
@@ -76,12 +84,13 @@ def _numbered(df: DataFrame, name: str, start: int, step: int) -> tuple[DataFram
     return out.select(*((F.coalesce(quoted(c), F.col("n") * step + start).alias(c) if c == name else quoted(c)) for c in df.columns)), used
 
 
-def _publish(store: Store, catalog: Catalog, database: Database, table: Table, df: DataFrame, counters: dict[str, int], next_rid: int) -> None:
+def _check(store: Store, table: Table, df: DataFrame) -> None:
     check_rows(df, table)
     check_unique(df, store.read(table) if table.segments else None, table)
-    with evaluating():
-        table.segments = [*table.segments, store.write(database, table, df)]
-    table.counters, table.next_rid = counters, next_rid
+
+
+def _publish(catalog: Catalog, table: Table, segment: str, counters: dict[str, int]) -> None:
+    table.segments, table.counters, table.next_insert = [*table.segments, segment], counters, table.next_insert + 1
     catalog.commit()
 
 

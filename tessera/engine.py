@@ -8,20 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import commands as c
 from . import ddl, dml
-from .errors import DatabaseAlreadyExists, EngineError, ExecutionError, MetadataError, NoActiveDatabase, TableAlreadyExists
+from .errors import ConflictError, DatabaseAlreadyExists, EngineError, ExecutionError, MetadataError, NoActiveDatabase, TableAlreadyExists
 from .plans.compile import compile
 from .sources.catalog import ROOT, Catalog, Database, User, hashed
 from .sources.files import Files
 from .sources.store import Store, describe
 
 SETTINGS = {"spark.sql.ansi.enabled": "true", "spark.sql.caseSensitive": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.timeType.enabled": "true"}
+#: Times that a command is run anew because another engine has committed meanwhile.
+ATTEMPTS = 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """The settings that the engine's semantics need; all can be set while a session runs."""
-    for k, v in SETTINGS.items():
-        spark.conf.set(k, v)
-    return spark
+    """A session of its own with the settings of this one and those that the engine's semantics need; the caller's stays as it is."""
+    own = spark.newSession()
+    for k, v in ({k: v for k, v in spark.conf.getAll.items() if spark.conf.isModifiable(k)} | SETTINGS).items():
+        own.conf.set(k, v)
+    return own
 
 
 @dataclass
@@ -36,9 +39,9 @@ class Result:
 class Engine:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = configure(spark)
-        self.files = Files(spark)
+        self.files = Files(self.spark)
         self.catalog = Catalog(self.files, root)
-        self.store = Store(spark, self.catalog)
+        self.store = Store(self.spark, self.catalog)
         self.user_name, self.database_name = ROOT, None
 
     @property
@@ -64,17 +67,31 @@ class Engine:
         return (self.execute_all(*batch) or [Result()])[-1]
 
     def execute_all(self, *batch: c.Command) -> list[Result]:
-        out = []
-        for command in batch:
-            run = getattr(self, f"_{type(command).__name__}", None)
-            if run is None:
-                raise ExecutionError(f"unknown command {command!r}")
+        return [self._run(command) for command in batch]
+
+    def _run(self, command: c.Command) -> Result:
+        """Sees what others have committed; is run anew if someone commits before it does."""
+        run = getattr(self, f"_{type(command).__name__}", None)
+        if run is None:
+            raise ExecutionError(f"unknown command {command!r}")
+        for left in reversed(range(ATTEMPTS)):
+            self.catalog.refresh()
             try:
-                out.append(run(command) or Result())
+                return run(command) or Result()
+            except ConflictError:
+                self.catalog.load()
+                if not left:
+                    raise
             except Exception:
                 self.catalog.load()  # the state of the last commit
                 raise
-        return out
+            finally:
+                self.store.settle()
+
+    def vacuum(self, min_age_s: float = 7 * 86400) -> int:
+        """Deletes what no table is made of any more; results of selects older than that may still read it. The number of folders."""
+        self.catalog.refresh()
+        return self.store.vacuum(min_age_s)
 
     def select(self, table: str, statement: c.Statement | None = None, like_mode: str = "text") -> DataFrame:
         return self.execute(c.Select(table, statement or c.Statement(), like_mode)).df
@@ -166,7 +183,7 @@ class Engine:
     # tables
 
     def _CreateTable(self, x: c.CreateTable) -> None:
-        ddl.create(self.store, self.catalog, self.database, x.name, list(x.columns))
+        ddl.create(self.store, self.catalog, self.database, x.name, list(x.columns), list(x.keys))
 
     def _RenameTable(self, x: c.RenameTable) -> None:
         database = self.database

@@ -89,6 +89,10 @@ class StorageError(EngineError):
     pass
 
 
+class ConflictError(StorageError):
+    """Another engine has committed since the catalog was read; nothing of this change has happened."""
+
+
 @contextmanager
 def evaluating() -> Iterator[None]:
     """Spark raises evaluation errors when an action runs; here they become EvaluationError."""

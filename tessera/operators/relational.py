@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import types as t
 from ..errors import ColumnAlreadyExists, InvalidExpression
@@ -13,8 +14,8 @@ from ..expr import Col, Expr
 from ..plans.bind import Scope, bind, predicate, quoted
 from ..statement import FUNCTIONS, Aggregate, OrderBy
 
-#: Order of insertion, in stored tables only; breaks ties of sorts, never shown.
-RID = "_rid"
+#: Order of insertion, in stored tables only: the number of the insertion and the row's in it. Breaks ties of sorts, never shown.
+RID, RID_TYPE = "_rid", T.StructType().add("seq", "long").add("row", "long")
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:

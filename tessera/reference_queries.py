@@ -6,7 +6,7 @@ The given tables hold no nulls; where a query needs some, WITH_NULLS derives the
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +15,10 @@ from . import commands as c
 from . import types as t
 from .ddl import Constraint, Position
 from .engine import Engine, configure
+from .errors import EngineError
 from .expr import Expr, col, col_at, lit
 from .plans.compile import compile
-from .sources.catalog import Auto, Column
+from .sources.catalog import Auto, Column, TableKey
 from .statement import Statement, agg_max, agg_min, agg_sum, asc, avg, count, desc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,8 +158,10 @@ ORACLE_SQL["like_backslash_literal"] = r"SELECT id, s LIKE 'a\%' AS col_1 FROM (
 
 
 def stored_table(spark: SparkSession, sf_dir: str, table: str, columns: list[Column]) -> Engine:
-    """A new engine in the session's shared folder, with a copy of one of the given tables in it."""
+    """A new engine in the session's shared folder, with a copy of one of the given tables in it. Without such a folder, in the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if shared.startswith(("file:", "/")) and not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     engine = Engine(spark, f"{shared.rstrip('/')}/tessera-store-{uuid.uuid4().hex}")
     engine.execute(c.CreateDatabase("shop"), c.UseDatabase("shop"), c.CreateTable(table, columns))
     engine.execute(c.Insert(table, source(spark, sf_dir, table)))
@@ -169,13 +172,19 @@ def nation(spark: SparkSession, sf_dir: str) -> Engine:
     return stored_table(spark, sf_dir, "nation", [Column("n_nationkey", t.INT, primary_key=True), Column("n_name", t.TEXT, not_null=True), Column("n_regionkey", t.INT)])
 
 
-def stored(name: str, sql: str, *batch: c.Command) -> None:
-    """What is in `nation` after a batch of commands."""
+def stored(name: str, sql: str, *batch: c.Command, rejected: Sequence[c.Command] = (), show: c.Command | None = None, table: str = "nation") -> None:
+    """What is in `nation` (or the table named, or what a command shows) after a batch of commands and some that must fail."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = nation(spark, sf_dir)
         engine.execute(*batch)
-        return engine.select("nation")
+        for bad in rejected:
+            try:
+                engine.execute(bad)
+            except EngineError:
+                continue
+            raise AssertionError(f"{bad} must fail")
+        return engine.execute(show).df if show else engine.select(table)
 
     QUERIES[name], ORACLE_SQL[name] = run, sql
 
@@ -194,3 +203,61 @@ QUERIES["show_tables"] = lambda spark, sf_dir: nation(spark, sf_dir).execute(c.S
 ORACLE_SQL["show_tables"] = "SELECT 'nation' AS table_name"
 QUERIES["describe_table"] = lambda spark, sf_dir: nation(spark, sf_dir).execute(c.DescribeTable("nation")).df
 ORACLE_SQL["describe_table"] = """SELECT * FROM (VALUES ('n_nationkey', 'Int', 'NO', 'PRI', 'NULL', ''), ('n_name', 'Text', 'NO', '', 'NULL', ''), ('n_regionkey', 'Int', 'YES', '', 'NULL', '')) v("Field", "Type", "Null", "Key", "Default", "Extra")"""
+
+_NATION = "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation"
+_NAMES = "SELECT table_name FROM (VALUES {}) v(table_name)"
+
+
+def shown(name: str, names: str, show: c.Command, *batch: c.Command, rejected: Sequence[c.Command] = ()) -> None:
+    stored(name, _NAMES.format(", ".join(f"('{n}')" for n in names.split())), *batch, rejected=rejected, show=show)
+
+
+shown("user_create", "Ann bob root", c.ShowUsers(), c.CreateUser("Ann", "a"), c.CreateUser("bob", "b"), rejected=[c.CreateUser("ANN", "x")])
+shown("user_rename", "Eve root", c.ShowUsers(), c.CreateUser("Ann", "a"), c.RenameUser("ann", "Eve"), rejected=[c.RenameUser("root", "x"), c.RenameUser("ann", "y")])
+shown("user_drop", "Ann root", c.ShowUsers(), c.CreateUser("Ann", "a"), c.CreateUser("bob", "b"), c.DropUser("BOB"), rejected=[c.DropUser("bob"), c.DropUser("root")])
+shown("user_login", "hers", c.ShowDatabases(), c.CreateUser("Ann", "a"), c.UserLogin("ann", "a"), c.CreateDatabase("hers"), rejected=[c.UserLogin("root2", ""), c.UserLogin("Ann", "b"), c.CreateUser("x", "y"), c.UseDatabase("shop")])
+shown("user_change_password", "shop", c.ShowDatabases(), c.ChangePassword("any", "new"), c.UserLogin("root", "new"), rejected=[c.UserLogin("root", "any"), c.ChangePassword("any", "x")])
+shown("database_show", "other shop", c.ShowDatabases(), c.CreateDatabase("other"), rejected=[c.CreateDatabase("OTHER")])
+shown("database_rename", "store", c.ShowDatabases(), c.RenameDatabase("shop", "store"), rejected=[c.RenameDatabase("shop", "x")])
+stored("database_rename_keeps_rows", _NATION, c.RenameDatabase("shop", "store"), c.UseDatabase("STORE"))
+shown("database_drop", "other", c.ShowDatabases(), c.CreateDatabase("other"), c.DropDatabase("shop"), rejected=[c.DropDatabase("shop"), c.ShowTables()])
+_ONE = [Column("id", t.INT)]
+shown("table_rename", "b country", c.ShowTables(), c.CreateTable("b", _ONE), c.RenameTable("nation", "country"), rejected=[c.RenameTable("b", "COUNTRY"), c.CreateTable("none", []), c.CreateTable("twice", [Column("n", t.TEXT), Column("N", t.TEXT)])])
+stored("table_rename_keeps_rows", _NATION, c.RenameTable("nation", "country"), table="country")
+shown("table_drop", "b", c.ShowTables(), c.CreateTable("b", _ONE), c.DropTable("nation"), rejected=[c.DropTable("nation"), c.Select("nation")])
+_LOW = Constraint("check", col("n_regionkey").lt(5))
+stored("ddl_drop_constraint", _NATION + " UNION ALL VALUES (100, NULL, 9)", c.AddConstraint("nation", "n_regionkey", _LOW), c.DropConstraint("nation", "n_regionkey", _LOW), c.DropConstraint("nation", "n_name", Constraint("not_null")), c.Insert("nation", [(100, None, 9)]))
+stored("ddl_set_default", _NATION + " UNION ALL VALUES (100, 'none', 3), (101, 'x', 3)", c.SetDefault("nation", "n_name", "none"), c.SetDefault("nation", "n_regionkey", 3), c.Insert("nation", [(100,), (101, "x")]))
+stored("ddl_unset_default", _NATION + " UNION ALL VALUES (100, 'x', NULL)", c.SetDefault("nation", "n_regionkey", 3), c.SetDefault("nation", "n_regionkey"), c.Insert("nation", [(100, "x")]))
+stored("ddl_rejected", _NATION, rejected=[c.AddConstraint("nation", "n_regionkey", Constraint("unique")), c.AddConstraint("nation", "n_regionkey", Constraint("check", col("n_regionkey").lt(2))), c.ModifyType("nation", "n_name", t.INT), c.SetDefault("nation", "n_regionkey", "x"), c.AddColumns("nation", [Column("n", t.INT, not_null=True)]), c.AddColumns("nation", [Column("n_name", t.TEXT)]), c.RenameColumn("nation", "n_name", "n_regionkey"), c.DropColumn("nation", "no name")])
+stored("dml_rejected", _NATION, c.AddConstraint("nation", "n_regionkey", _LOW), rejected=[c.Insert("nation", [(100, "new"), (7, "taken")]), c.Insert("nation", [(100, "a"), (100, "b")]), c.Insert("nation", [(100, None)]), c.Insert("nation", [(None, "x")]), c.Insert("nation", [(100, "x", 5)]), c.Insert("nation", [("100", "x")]), c.Insert("nation", [(100, "x", 1, 1)]), c.Update("nation", {"n_nationkey": lit(1)}), c.Update("nation", {"n_name": lit(None)}), c.Update("nation", {"n_regionkey": lit(7)}), c.Update("nation", {"n_regionkey": lit(1).div(0)})])
+stored("dml_update_key_shift", "SELECT (n_nationkey + 1)::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation", c.Update("nation", {"n_nationkey": col("n_nationkey").add(1)}))
+stored("dml_check_null_passes", _NATION + " UNION ALL VALUES (100, 'x', NULL)", c.AddConstraint("nation", "n_regionkey", _LOW), c.Insert("nation", [(100, "x")]))
+stored("dml_delete_all_insert", "SELECT * FROM (VALUES (1::BIGINT, 'x', NULL::BIGINT)) v(n_nationkey, n_name, n_regionkey)", c.Delete("nation"), c.Insert("nation", [(1, "x")]))
+_PAIR = [Column("a", t.INT, not_null=True), Column("b", t.TEXT)]
+stored("table_keys", "SELECT * FROM (VALUES (1::BIGINT, 'x'), (1, 'y'), (2, 'x'), (2, NULL), (2, NULL)) v(a, b)", c.CreateTable("pair", _PAIR, [TableKey("unique", ["a", "b"]), TableKey("check", check=col("a").lt(9))]), c.Insert("pair", [(1, "x"), (1, "y"), (2, "x"), (2, None), (2, None)]), rejected=[c.Insert("pair", [(1, "y")]), c.Insert("pair", [(9, "z")]), c.Update("pair", {"b": lit("x")}), c.CreateTable("bad", _PAIR, [TableKey("unique", ["zz"])])], table="pair")
+
+
+def _insert_frame_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = nation(spark, sf_dir)
+    engine.execute(c.CreateTable("supplier", [Column("no", t.INT, primary_key=True, auto=Auto(100, 10)), Column("s_suppkey", t.INT), Column("s_name", t.TEXT), Column("kind", t.TEXT, default=lit("new"))]))
+    engine.execute(c.Insert("supplier", source(spark, sf_dir, "supplier").select("s_suppkey", "s_name").orderBy("s_suppkey")), c.Insert("supplier", [(None, -1, "last")]))
+    return engine.select("supplier")
+
+
+QUERIES["dml_insert_frame_auto"] = _insert_frame_auto
+ORACLE_SQL["dml_insert_frame_auto"] = "SELECT (100 + 10 * (row_number() OVER (ORDER BY o, s_suppkey) - 1))::BIGINT AS no, s_suppkey, s_name, 'new' AS kind FROM (SELECT 0 AS o, s_suppkey, s_name FROM supplier UNION ALL SELECT 1, -1, 'last')"
+
+
+def _reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters, defaults and constraints as another engine on the same root finds them."""
+    first = nation(spark, sf_dir)
+    first.execute(c.AddColumns("nation", [Column("no", t.INT, unique=True, auto=Auto(1, 2)), Column("note", t.TEXT, default=lit("-"))]))
+    again = Engine(spark, first.catalog.root)
+    again.execute(c.UseDatabase("shop"), c.Insert("nation", [(100, "x", 1)]))
+    first.execute(c.Insert("nation", [(101, "y", 1)]))
+    return again.select("nation")
+
+
+QUERIES["reload"] = _reload
+ORACLE_SQL["reload"] = "SELECT *, (2 * row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS no, '-' AS note FROM (SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation UNION ALL VALUES (100, 'x', 1), (101, 'y', 1))"

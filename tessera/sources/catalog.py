@@ -1,4 +1,7 @@
-"""Users, databases and tables in one JSON file, replaced at each commit; that replacement is what makes a change happen.
+"""Users, databases and tables in one JSON file for each version; creating the next version is what makes a change happen.
+
+A commit is a compare-and-set: it fails with ConflictError, and changes nothing, if any other engine has committed since this one read the
+catalog. The last KEPT versions stay.
 
 Folders are named by ids, which are never used again, so renaming moves no data. Names are unique whatever their case. Passwords are kept
 as salted scrypt hashes.
@@ -10,12 +13,14 @@ import hashlib
 import hmac
 import json
 import os
+from contextlib import suppress
 from dataclasses import asdict, dataclass, field
 
 from .. import types as t
 from ..errors import (
     ColumnAlreadyExists,
     ColumnNotFound,
+    ConflictError,
     DatabaseAlreadyExists,
     DatabaseNotFound,
     MetadataError,
@@ -30,6 +35,7 @@ from ..types import DataType
 from .files import Files
 
 ROOT = "root"
+KEPT = 100
 PERMISSIONS = ("read", "write", "admin", "manage_databases")
 
 
@@ -97,8 +103,7 @@ class Table:
     segments: list[str] = field(default_factory=list)  # folders of the present snapshot
     counters: dict[str, int] = field(default_factory=dict)  # by column id
     next_column: int = 1
-    next_rid: int = 0
-    version: int = 0
+    next_insert: int = 0
 
     def column(self, name: str) -> Column:
         for c in self.columns:
@@ -119,6 +124,10 @@ class Table:
             seen.add(c.name.lower())
             c.validate()
         for k in self.keys:
+            if k.kind not in ("primary_key", "unique", "foreign_key", "check"):
+                raise MetadataError(f"unknown table constraint {k.kind}")
+            if (k.check is None) == (k.kind == "check") or not k.columns and k.kind != "check":
+                raise MetadataError(f"a table constraint {k.kind} needs {'an expression' if k.kind == 'check' else 'columns'}")
             for name in k.columns:
                 self.column(name)
 
@@ -232,16 +241,34 @@ def _table(d: dict) -> Table:
 
 class Catalog:
     def __init__(self, files: Files, root: str):
-        self.files, self.root, self.path = files, root.rstrip("/"), f"{root.rstrip('/')}/catalog.json"
+        self.files, self.root, self.version = files, root.rstrip("/"), 0
         self.users: dict[str, User] = {}
         self.next_id = 1
-        if files.exists(self.path):
-            self.load()
-        else:
+        if not self.latest():
             self.users[ROOT] = User(self.new_id(), ROOT, None, list(PERMISSIONS))
-            self.commit()
+            with suppress(ConflictError):
+                self.commit()
+        self.load()
+
+    @property
+    def path(self) -> str:
+        return self._at(self.version)
+
+    def _at(self, version: int) -> str:
+        return f"{self.root}/catalog/{version:012}.json"
+
+    def latest(self) -> int:
+        """The newest version, 0 if there is none."""
+        names = [name.removesuffix(".json") for name, _ in self.files.children(f"{self.root}/catalog")]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def refresh(self) -> None:
+        """Reads what others have committed."""
+        if self.latest() != self.version:
+            self.load()
 
     def load(self) -> None:
+        self.version = self.latest()
         d = json.loads(self.files.read(self.path))
         self.next_id = d["next_id"]
         self.users = {}
@@ -257,7 +284,16 @@ class Catalog:
             return vars(x) | {"columns": [column(c) for c in x.columns], "keys": [vars(k) | {"check": dump(k.check) if k.check else None} for k in x.keys]}
 
         users = [vars(u) | {"databases": [{"id": b.id, "name": b.name, "tables": [table(x) for x in b.tables.values()]} for b in u.databases.values()]} for u in self.users.values()]
-        self.files.replace(self.path, json.dumps({"next_id": self.next_id, "users": users}, indent=1))
+        text = json.dumps({"next_id": self.next_id, "users": users}, indent=1)
+        if self.latest() != self.version or not self.files.create(self._at(self.version + 1), text):
+            raise ConflictError(f"{self.root}: version {self.version + 1} is there already")
+        self.version += 1
+        if self.version > KEPT:
+            self.files.delete(self._at(self.version - KEPT))
+
+    def segments(self) -> set[str]:
+        """All folders that tables are made of."""
+        return {s for u in self.users.values() for d in u.databases.values() for x in d.tables.values() for s in x.segments}
 
     def new_id(self) -> int:
         self.next_id += 1

@@ -10,6 +10,7 @@ from tessera.ddl import Constraint, Position
 from tessera.errors import (
     ColumnAlreadyExists,
     ColumnNotFound,
+    ConflictError,
     DatabaseAlreadyExists,
     DatabaseNotFound,
     EngineError,
@@ -24,7 +25,7 @@ from tessera.errors import (
     UserNotFound,
     UserPasswordInvalid,
 )
-from tessera.sources.catalog import Auto, Column
+from tessera.sources.catalog import Auto, Column, TableKey
 
 F5 = [
     Column("id", t.INT, primary_key=True, auto=Auto(1, 1)),
@@ -242,3 +243,85 @@ def test_random_commands_against_a_model(engine):
             with pytest.raises(ExecutionError):
                 engine.execute(run)
         assert dict(rows(engine, "t")) == model
+
+
+def test_two_engines_on_one_root(engine, spark):
+    """Each sees what the other has committed; no acknowledged row is lost."""
+    engine.execute(c.CreateTable("t", F5))
+    other = Engine(spark, engine.catalog.root)
+    other.execute(c.UseDatabase("db"))
+    engine.execute(c.Insert("t", [(None, "a")]))
+    other.execute(c.Insert("t", [(None, "b")]))
+    assert rows(engine, "t", "id") == rows(other, "t", "id") == [(1, "a", 5, None), (2, "b", 5, None)]
+
+
+def test_commit_that_is_late_is_run_again(engine, spark, monkeypatch):
+    engine.execute(c.CreateTable("t", F5))
+    other = Engine(spark, engine.catalog.root)
+    other.execute(c.UseDatabase("db"))
+    write, begun = engine.store.write, []
+
+    def slow(*args):
+        out = write(*args)
+        if not begun:
+            begun.append(out)
+            other.execute(c.Insert("t", [(None, "b")]))  # commits between this engine's write and its commit
+        return out
+
+    monkeypatch.setattr(engine.store, "write", slow)
+    engine.execute(c.Insert("t", [(None, "a")]))
+    assert rows(engine, "t", "id") == rows(other, "t", "id") == [(1, "b", 5, None), (2, "a", 5, None)]
+    assert not engine.files.exists(begun[0]) and len(engine.catalog.segments()) == 2
+    begun.clear()
+    monkeypatch.setattr("tessera.engine.ATTEMPTS", 3)
+    monkeypatch.setattr(engine.store, "write", lambda *args: (begun.append(1), other.execute(c.Update("t", {"note": lit(str(len(begun)))})), write(*args))[2])
+    with pytest.raises(ConflictError):  # someone always is faster
+        engine.execute(c.Insert("t", [(None, "z")]))
+    assert [r[1] for r in rows(other, "t", "id")] == ["b", "a"]
+
+
+def test_folders_that_no_table_needs_go(engine):
+    engine.execute(c.CreateTable("t", F5), c.Insert("t", [(None, "a", 1)]))
+    old = engine.select("t")
+    for _ in range(3):
+        engine.execute(c.Update("t", {"qty": col("qty").add(1)}))
+    assert [r.qty for r in old.collect()] == [1]
+    assert engine.vacuum(3600) == 0 and engine.vacuum(0) == 3
+    assert [r[2] for r in rows(engine, "t")] == [4]
+    with pytest.raises(ExecutionError):
+        engine.execute(c.Insert("t", [(None, "b", 0)]))
+    engine.execute(c.Delete("t"))
+    assert engine.vacuum(0) == 1 and rows(engine, "t") == []
+
+
+def test_frames_are_written_once(engine, spark, monkeypatch):
+    engine.execute(c.CreateTable("t", [Column("a", t.INT, not_null=True)]))
+    write, n = engine.store.write, []
+    monkeypatch.setattr(engine.store, "write", lambda *args: (n.append(1), write(*args))[1])
+    engine.execute(c.Insert("t", spark.range(5).selectExpr("id AS a")))
+    assert len(n) == 1
+    with pytest.raises(ExecutionError):
+        engine.execute(c.Insert("t", spark.range(5).selectExpr("IF(id > 3, null, id) AS a")))
+    assert len(engine.files.children(engine.catalog.segments().pop().rsplit("/", 1)[0])) == 1
+
+
+def test_session_stays_as_it_was(spark, tmp_path):
+    before = dict(spark.conf.getAll)
+    Engine(spark, str(tmp_path)).execute(c.CreateDatabase("x"))
+    assert dict(spark.conf.getAll) == before
+
+
+def test_table_keys(engine):
+    two = [Column("a", t.INT), Column("b", t.INT)]
+    for bad in (TableKey("unique"), TableKey("check"), TableKey("other", ["a"]), TableKey("unique", ["a"], col("a").gt(1))):
+        with pytest.raises(MetadataError):
+            engine.execute(c.CreateTable("t", two, [bad]))
+    engine.execute(c.CreateTable("t", two, [TableKey("primary_key", ["a", "b"]), TableKey("foreign_key", ["b"], references="other")]), c.Insert("t", [(1, 1), (1, 2)]))
+    for bad in ([(1, 1)], [(1, None)], [(2, 2), (2, 2)]):
+        with pytest.raises(ExecutionError):
+            engine.execute(c.Insert("t", bad))
+    engine.execute(c.RenameColumn("t", "b", "z"))
+    with pytest.raises(MetadataError):
+        engine.execute(c.DropColumn("t", "z"))
+    again = engine.execute(c.Insert("t", [(2, 2)]))
+    assert again.count == 1 and len(rows(engine, "t")) == 3
