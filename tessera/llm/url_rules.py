@@ -14,9 +14,9 @@ are an error in the rows they decide. Repeated rows come out as often as they we
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +27,8 @@ from .common import ascii_lower, fresh, partitions, prepare, stored
 NUL = "\x00"
 #: Behind every salted key with the same beginning.
 LAST = b"\xff" * 9
+#: Bounds of ranges are beginnings of keys, of as many bytes at most.
+BOUND = 512
 
 
 def host_of(url: Column) -> Column:
@@ -62,7 +64,13 @@ def _sweep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(host), pa.array(path), pa.array(rule), pa.array(action)], names=["host", "path", "rule", "action"])
 
 
-def match(pairs: DataFrame, rules: DataFrame, sample: int = 50_000) -> DataFrame:
+def _objects(keys: list[bytes]) -> np.ndarray:
+    out = np.empty(len(keys), object)
+    out[:] = keys
+    return out
+
+
+def match(pairs: DataFrame, rules: DataFrame, sample: int = 20_000) -> DataFrame:
     """host, path, rule, action for the distinct pairs (host, path) that some rule (host, path, action) fits."""
     spark = pairs.sparkSession
     prepare(spark, 4096)
@@ -71,23 +79,25 @@ def match(pairs: DataFrame, rules: DataFrame, sample: int = 50_000) -> DataFrame
     probes = stored(probes.withColumn("order", F.concat("key", F.unhex(F.lpad(F.hex(F.xxhash64("host", "path")), 16, "0")))), "probes")
     total = probes.count()
     n = partitions(spark)
-    some = probes.filter(F.pmod(F.xxhash64("order"), F.lit(max(1, total))) < sample).select("order")
+    some = probes.filter(F.pmod(F.xxhash64("order"), F.lit(max(1, total))) < sample).select(F.substring("order", 1, BOUND).alias("order"))
     found = sorted(bytes(r[0]) for r in some.limit(2 * sample).collect())
-    bounds = sorted({found[i * len(found) // n] for i in range(1, n)}) if found else []
+    bounds = _objects(sorted({found[i * len(found) // n] for i in range(1, n)}) if found else [])
+
+    def place(keys: list[bytes]) -> np.ndarray:
+        return np.searchsorted(bounds, _objects(keys), "right").astype(np.int32)
 
-    @F.udf("array<int>")
-    def spans(lo: bytes, probe: bool) -> list[int]:
-        first = bisect_right(bounds, bytes(lo))
-        return [first] if probe else list(range(first, bisect_right(bounds, bytes(lo) + LAST) + 1))
+    @F.pandas_udf("array<int>")
+    def spans(lo: pd.Series) -> pd.Series:
+        return pd.Series([np.arange(a, b + 1, dtype=np.int32) for a, b in zip(place(lo.tolist()), place([x + LAST for x in lo]))], dtype=object)
 
     @F.pandas_udf("int")
     def span(order: pd.Series) -> pd.Series:
-        return order.map(lambda b: bisect_right(bounds, bytes(b))).astype("int32")
+        return pd.Series(place(order.tolist()))
 
     own = rules.filter("host IS NOT NULL AND path IS NOT NULL AND action IS NOT NULL").select(ascii_lower(F.col("host")).alias("host"), "path", "action").distinct()
     own = own.select(_key(F.reverse(F.split("host", r"\.")), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), "action")
     own = own.groupBy("key").agg(F.max(F.struct((F.col("action") == "block").alias("first"), "action", "rule")).alias("best"))
-    rule_rows = own.select(F.explode(spans("key", F.lit(False))).alias("span"), "key", F.lit(False).alias("is_probe"), F.lit("").alias("host"), F.lit("").alias("path"), "best.rule", "best.action")
+    rule_rows = own.select(F.explode(spans("key")).alias("span"), "key", F.lit(False).alias("is_probe"), F.lit("").alias("host"), F.lit("").alias("path"), "best.rule", "best.action")
     probe_rows = probes.select(span("order").alias("span"), "key", F.lit(True).alias("is_probe"), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action"))
     merged = rule_rows.unionByName(probe_rows).repartition(n, "span").sortWithinPartitions("span", "key", "is_probe")
     hits = merged.mapInArrow(_sweep, "host string, path string, rule string, action string")
@@ -99,10 +109,11 @@ def match(pairs: DataFrame, rules: DataFrame, sample: int = 50_000) -> DataFrame
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """pages with host, path, rule and verdict in place of columns so named."""
     own = pages.drop("host", "path", "rule", "verdict")
-    host, path, h, p = (fresh(x, own) for x in ("host", "path", "h", "p"))
+    host, path = "host", "path"
+    h, p, r, a = (fresh(x, own) for x in ("h", "p", "r", "action"))
     split = own.withColumn(host, host_of(F.col("url"))).withColumn(path, path_of(F.col("url")))
-    found = match(split.select(host, path).distinct(), rules).select(F.col("host").alias(h), F.col("path").alias(p), "rule", "action")
+    found = match(split.select(host, path).distinct(), rules).select(F.col("host").alias(h), F.col("path").alias(p), F.col("rule").alias(r), F.col("action").alias(a))
     both = split.join(found, (split[host] == found[h]) & (split[path] == found[p]), "left")
-    known = F.col("action").isNull() | F.col("action").isin("allow", "block")
-    verdict = F.when(known, F.coalesce("action", F.lit(default))).otherwise(F.raise_error(F.concat(F.lit("unknown action "), F.col("action"))))
-    return both.select(*own.columns, host, path, "rule", verdict.alias("verdict"))
+    known = F.col(a).isNull() | F.col(a).isin("allow", "block")
+    verdict = F.when(known, F.coalesce(a, F.lit(default))).otherwise(F.raise_error(F.concat(F.lit("unknown action "), F.col(a))))
+    return both.select(*own.columns, host, path, F.col(r).alias("rule"), verdict.alias("verdict"))

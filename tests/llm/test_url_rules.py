@@ -32,9 +32,9 @@ def test_against_brute_force(spark, sample, monkeypatch):
     rules += [("org", "/a", "allow"), ("org", "/a", "block")]
     rows = [(i, rng.choice(["http://", "HTTPS://", "://"]) + rng.choice(["", "WWW.", "x."]) + rng.choice(hosts) + rng.choice(paths) + rng.choice(["", "z", "?q=/a://", "#t"])) for i in range(400)]
     rows += [(900, None), (901, "no scheme"), (902, "http://a.org"), (None, "http://a.org/a"), rows[0], rows[0], (903, "http://hot.a.org/a/b"), *[(1000 + i, "http://b.a.org/a/b") for i in range(300)]]
-    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS h", "'x' AS host")
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS h", "'x' AS host", "2 AS action", "3 AS r", "4 AS rule")
     out = U.judge(df, spark.createDataFrame([*rules, (None, "/", "allow")], "host string, path string, action string"), "allow")
-    assert out.columns == ["page_id", "url", "h", "host", "path", "rule", "verdict"]
+    assert out.columns == ["page_id", "url", "h", "action", "r", "host", "path", "rule", "verdict"]
     got = sorted(map(tuple, out.select("page_id", "url", "host", "path", "rule", "verdict").collect()), key=repr)
     assert got == sorted(((i, u, *brute(u, rules, "allow")) for i, u in rows), key=repr)
 
@@ -44,3 +44,12 @@ def test_no_rules_no_pages(spark):
     page = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
     assert [r.verdict for r in U.judge(page, none, "block").collect()] == ["block"]
     assert U.judge(page.limit(0), none).count() == 0
+
+
+def test_very_long_urls_and_unknown_actions(spark):
+    rows = [(i, "http://a.org/" + "x" * 100_000 + f"/{i}") for i in range(30)]
+    rules = spark.createDataFrame([("org", "/", "allow"), ("a.org", "/" + "x" * 100_000 + "/7", "block"), ("b.org", "/", "other")], "host string, path string, action string")
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    assert {r.page_id for r in U.judge(pages, rules).collect() if r.verdict == "block"} == {7}
+    with pytest.raises(Exception, match="unknown action other"):
+        U.judge(spark.createDataFrame([(1, "http://b.org/")], "page_id long, url string"), rules).collect()
