@@ -5,7 +5,7 @@ equal anchors at equal offsets. Successive windows with one anchor form an envel
 found in one document only is done with. Extension goes both ways to the envelope's ends: where whole envelopes are equal, all but
 the smallest document's copies are covered. Where one anchor has different envelopes, only those of the smallest document of each are
 extended window by window. A group of n copies so costs n rows, not n squared pairs, and no link is lost. Covered windows that
-touch are merged to maximal repeats. Hashes of envelopes and windows have 128 bits.
+touch are merged to maximal repeats, and the words of these go. Hashes of envelopes and windows have 128 bits.
 
 Defined results: words are runs of anything but [\\x20\\x09-\\x0D], unchanged. A word goes if some window that covers it also starts in
 a document with a smaller doc_id, judged on the input. A null text has no words. Rows of one doc_id are one document and never lose words
@@ -97,7 +97,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     every, seeds = seeds, stored(seeds.join(shared, "anchor", "left_semi"), "seeds")
     discard(every, shared)
     kinds = stored(seeds.groupBy("anchor", "e1", "e2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "envelopes")
-    unlike = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", F.lit(True).alias("unlike"))
+    # stored: in a join of two plain tables the rows of a frequent anchor can be split, one with a grouping below cannot
+    unlike = stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", F.lit(True).alias("unlike")), "unlike")
     kinds = kinds.join(unlike, "anchor", "left").filter("least < most OR unlike").select("e1", "e2", "least", F.coalesce("unlike", F.lit(False)).alias("unlike"))
     met = stored(seeds.select("doc_id", "text_hash", "e1", "e2", "lo", "hi").join(kinds, ["e1", "e2"]).filter("doc_id > least OR unlike").select("doc_id", "text_hash", "lo", "hi", (F.col("doc_id") > F.col("least")).alias("covered")), "met")
     discard(seeds)
@@ -112,13 +113,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     return covered.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "end")).alias("parts"))
 
 
-def _cover(parts: list[dict], n: int) -> np.ndarray:
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, [p["lo"] for p in parts], 1)
-    np.subtract.at(step, [p["end"] for p in parts], 1)
-    return np.cumsum(step[:-1]) > 0
-
-
 def maximal(parts: list[dict]) -> list[tuple[int, int]]:
     """Intervals that touch or overlap, merged."""
     out: list[list[int]] = []
@@ -141,25 +135,26 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 
 @F.pandas_udf(T.StructType().add("kept", "string").add("n_words", "long").add("n_removed", "long"))
-def _applied(text: pd.Series, parts: pd.Series) -> pd.DataFrame:
+def _applied(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     def one(t: bytes, gone: list | None) -> tuple[str, int, int]:
         words = (t or b"").split()
         n = len(words)
         if gone is not None:
-            words = [w for w, g in zip(words, _cover(gone, n).tolist()) if not g]
+            at = [0, *(x for s in gone for x in (s["start"], s["end"])), n]
+            words = [w for a, b in zip(at[::2], at[1::2]) for w in words[a:b]]
         return b" ".join(words).decode("utf-8", "replace"), n, n - len(words)
 
-    return pd.DataFrame([one(t, p) for t, p in zip(text, parts)], columns=["kept", "n_words", "n_removed"])
+    return pd.DataFrame([one(t, s) for t, s in zip(text, spans)], columns=["kept", "n_words", "n_removed"])
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with kept (the words that stay, joined by one space), n_words and n_removed."""
     own = docs.drop("kept", "n_words", "n_removed")
-    key, of, parts, done = (fresh(x, own) for x in ("key", "of", "parts", "done"))
+    key, of, spans, done = (fresh(x, own) for x in ("key", "of", "spans", "done"))
 
     def named(*cols: Column) -> Column:
         return F.struct(cols[0].alias("a"), cols[1].alias("b"))
 
-    found = repeats(docs, length, gram).select(named(F.col("doc_id"), F.col("text_hash")).alias(of), F.col("parts").alias(parts))
+    found = maximal_repeats(docs, length, gram).select(named(F.col("doc_id"), F.col("text_hash")).alias(of), F.col("spans").alias(spans))
     keyed = own.withColumn(key, named(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    return keyed.join(found, keyed[key] == found[of], "left").withColumn(done, _applied(F.col("text").cast("binary"), parts)).select(*own.columns, f"{done}.*")
+    return keyed.join(found, keyed[key] == found[of], "left").withColumn(done, _applied(F.col("text").cast("binary"), spans)).select(*own.columns, f"{done}.*")
