@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, ascii_lower, fresh, key_hash, partitions, prepare, stored
+from .common import ASCII_SPACE, ascii_lower, discard, fresh, key_hash, partitions, prepare, stored
 
 FORM = "kind int, h1 long, h2 long, doc_id long, f1 long, f2 long, pos int, docs long"
 DROP, EDGE, OPEN = 0, 1, 2
@@ -133,8 +133,11 @@ def dropped_lines(docs: DataFrame, rule: str = "common", min_docs: int = 10, min
         raise ValueError(f"unknown rule {rule!r}")
     spark = docs.sparkSession
     prepare(spark)
-    spread = lines(docs, min_chars).repartitionByRange(partitions(spark), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos", "f1", "f2")
+    # stored: bounds of ranges come from a sample, which would split all texts once more
+    hashed = stored(lines(docs, min_chars), "hashed")
+    spread = hashed.repartitionByRange(partitions(spark), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos", "f1", "f2")
     found = stored(spread.mapInArrow(lambda it: _Stream(rule, min_docs).batches(it), FORM), "lines")
+    discard(hashed)
     open_rows, edges = found.filter(F.col("kind") == OPEN), found.filter(F.col("kind") == EDGE)
     # a summary or two for each task, and fewer than min_docs documents' rows
     if rule == "common":
