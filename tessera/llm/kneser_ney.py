@@ -17,7 +17,7 @@ empty: the end token alone. Without training texts V is 0 and every score is 0.
 occur; a null doc_id changes nothing. Other columns go through unchanged; `n_tokens`, `n_known`, `base_score` and `score` are replaced.
 
 The shared folder must be mounted where executors run (file:), since workers map its files. Ids have 32 bits: a vocabulary of 2 ** 32 words or more is an
-error, not a wrong model.
+error, not a wrong model. Counts have 64 bits; of pairs, where nearly all are small, 16, and a list of the larger ones.
 """
 
 from __future__ import annotations
@@ -43,6 +43,9 @@ U = np.uint64
 END = int(W.mix(np.array([1], U))[0])
 #: Distinct keys that a task holds before it puts them out, and tokens that are looked up at a time.
 HELD, AT_ONCE = 4_000_000, 500_000
+#: Training tokens in a range of pairs, which a task holds at a time; fewer only as far as that makes no more ranges than shuffle partitions.
+PER_RANGE, LEAST_PER_RANGE = 16_000_000, 100_000
+NARROW = "uint16"
 ROWS = "range int, keys binary, counts binary"
 
 
@@ -103,7 +106,7 @@ class _Counter:
         cut = np.append(np.searchsorted(k, self.edges), len(k))
         for r in np.flatnonzero(np.diff(cut)):
             a, b = cut[r], cut[r + 1]
-            yield pa.record_batch([pa.array([r], pa.int32()), pa.array([pack_sorted(k[a:b])], pa.binary()), pa.array([pack(c[a:b].astype(np.uint32))], pa.binary())], names=["range", "keys", "counts"])
+            yield pa.record_batch([pa.array([r], pa.int32()), pa.array([pack_sorted(k[a:b])], pa.binary()), pa.array([pack(c[a:b])], pa.binary())], names=["range", "keys", "counts"])
 
 
 def _count_words(edges: np.ndarray):
@@ -124,7 +127,7 @@ def _write(path: str, a: np.ndarray) -> None:
 
 
 def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return added([unpack_sorted(b, U) for b in pdf["keys"]], [unpack(b, np.uint32).astype(np.int64) for b in pdf["counts"]])
+    return added([unpack_sorted(b, U) for b in pdf["keys"]], [unpack(b, np.int64) for b in pdf["counts"]])
 
 
 @dataclass
@@ -143,6 +146,7 @@ class Model:
     start: tuple = (0, 0, 0)  # followers of the text's start, by count: 1, 2, more
     spread: tuple = (0, 0, 0)  # words by number of continuations: 1, 2, more
     pairs: int = 0
+    narrow: str = NARROW  # type of pair counts; those that reach its end are listed apart
     word_ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def __post_init__(self):
@@ -156,7 +160,7 @@ class Model:
 _open: dict[tuple[str, str, int], np.ndarray] = {}
 
 
-def _part(path: str, name: str, i: int, dtype: type, width: int = 1) -> np.ndarray:
+def _part(path: str, name: str, i: int, dtype: type | str, width: int = 1) -> np.ndarray:
     if (key := (path, name, i)) not in _open:
         if len(_open) > 5000:
             _open.clear()
@@ -179,7 +183,7 @@ def _find(path: str, name: str, first: np.ndarray, size: np.ndarray, keys: np.nd
     return part, place
 
 
-def _gather(path: str, name: str, part: np.ndarray, place: np.ndarray, dtype: type, width: int = 1) -> np.ndarray:
+def _gather(path: str, name: str, part: np.ndarray, place: np.ndarray, dtype: type | str, width: int = 1) -> np.ndarray:
     out = np.zeros((len(part), width) if width > 1 else len(part), np.int64)
     for p in np.unique(part[place >= 0]):
         a, z = np.searchsorted(part, [p, p + 1])
@@ -188,6 +192,16 @@ def _gather(path: str, name: str, part: np.ndarray, place: np.ndarray, dtype: ty
     return out
 
 
+def _pair_counts(model: Model, part: np.ndarray, place: np.ndarray) -> np.ndarray:
+    out = _gather(model.path, "pair-counts", part, place, model.narrow)
+    most = np.iinfo(model.narrow).max
+    for p in np.unique(part[out == most]):
+        at, count = _part(model.path, "pair-large", p, np.int64).reshape(2, -1)
+        hit = np.flatnonzero((part == p) & (out == most))
+        out[hit] = count[np.searchsorted(at, place[hit])]
+    return out
+
+
 def _pair_keys(model: Model, h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
     """For each token its id (-1: unknown) and its predecessor's (V: the start); places of distinct tokens."""
     u, back = np.unique(h, return_inverse=True)
@@ -233,7 +247,10 @@ def _keep_pairs(model: Model):
         k, c = _merged(pdf)
         r = int(key[0])
         _write(f"{model.path}/pair-keys-{r:06}", k)
-        _write(f"{model.path}/pair-counts-{r:06}", c.astype(np.uint32))
+        most = np.iinfo(model.narrow).max
+        _write(f"{model.path}/pair-counts-{r:06}", np.minimum(c, most).astype(model.narrow))
+        if len(large := np.flatnonzero(c >= most)):
+            _write(f"{model.path}/pair-large-{r:06}", np.concatenate([large, c[large]]))
         rows = [("part", r, len(k), [int((c == i).sum()) for i in (1, 2, 3, 4)], b"", b"", b"", b"")]
 
         def dealt(kind: str, ids: np.ndarray, *values: np.ndarray) -> None:
@@ -294,13 +311,13 @@ def _folder(spark: SparkSession) -> str:
     return path
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, narrow: str = NARROW) -> Model:
     """The model of the column text of docs."""
     spark = docs.sparkSession
     prepare(spark)
     path = _folder(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    n = max(partitions(spark), texts.rdd.getNumPartitions())
+    n = partitions(spark)
     edges = np.array([(i << 64) // n for i in range(n)], U)
     share = HELD / 8
     made = texts.mapInArrow(_count_words(edges), ROWS).groupBy("range").applyInPandas(_keep_words(path, share), WORD_PART)
@@ -308,12 +325,13 @@ def train(docs: DataFrame) -> Model:
     if not parts:
         return Model(path, np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64))
     size = np.array([parts[r]["n"] if r in parts else 0 for r in range(n)])
-    model = Model(path, edges, size, np.zeros(0, U), np.zeros(0, np.int64), n=sum(r["tokens"] for r in parts.values()))
+    model = Model(path, edges, size, np.zeros(0, U), np.zeros(0, np.int64), n=sum(r["tokens"] for r in parts.values()), narrow=narrow)
     if model.v >= (1 << 32) - 1:
         raise ValueError("more distinct words than ids of 32 bits")
     r = int(np.searchsorted(edges, U(END), "right")) - 1
     place = int(np.searchsorted(_part(path, "word-keys", r, U), U(END)))
     model.docs = int(_part(path, "word-counts", r, np.int64)[place])
+    n = max(ceil(model.n / PER_RANGE), min(n, ceil(model.n / LEAST_PER_RANGE)))
     # ranges of pairs: even in ids, and frequent words (which are few, since each has `share` tokens) apart
     v, most = model.v, max(1, model.n // n)
     hot = [(int(model.word_ids[p] + w), int(c)) for p, row in parts.items() for w, c in zip(np.frombuffer(row["hot"], np.int64), np.frombuffer(row["hot_counts"], np.int64))]
@@ -355,7 +373,7 @@ def log10_probabilities(model: Model, h: np.ndarray, begin: np.ndarray) -> tuple
     both = np.flatnonzero((ids >= 0) & (before >= 0))
     u, at = np.unique((before[both].astype(U) << U(32)) | ids[both].astype(U), return_inverse=True)
     pair = np.zeros(len(h), np.int64)
-    pair[both] = _gather(path, "pair-counts", *_find(path, "pair", model.pair_first, model.pair_size, u), np.uint32)[at]
+    pair[both] = _pair_counts(model, *_find(path, "pair", model.pair_first, model.pair_size, u))[at]
     p = np.where(seen > 0, (_discount(pair, model.discounts) + mass * low) / np.maximum(seen, 1), low)
     return count, base, np.log10(p)
 
