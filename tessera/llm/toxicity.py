@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their beginnings of 4, 5 and 6 bytes (ASCII punctuation separates, A-Z is folded), by hash. Of the labelled
-examples' terms the `max_terms` with the largest log-likelihood ratio for the label are kept, if that is `min_gain` at least and they are
-found in at least `min_docs` examples. A
+examples' terms those are kept whose log-likelihood ratio for the label is `min_gain` at least and that are found in at least `min_docs`
+examples. A
 vector has (1 + ln tf) * idf for the kept terms and a constant term BIAS, so that a text without kept terms still has a direction, that of
 the ordinary examples. Examples with equal vectors are one entry with counts.
 
@@ -11,7 +11,7 @@ stops when no block can hold anything nearer than the k-th found; the k nearest
 cosine ** SHARPNESS times their count; a prior of one vote at the examples' rate is added. Votes become scores by isotonic calibration, fitted on
 the examples' own votes with one of their count left out.
 
-Fitting uses a bounded sample: `max_examples` labelled documents, those of smallest hash. Everything else covers all documents. The
+Fitting uses a bounded sample: of the labelled documents that are there the `max_examples` of smallest hash. Everything else covers all documents. The
 evidence of a score is the nearest entries: their smallest example doc_id, cosine and share of label 1.
 
 Defined results: a null text is like an empty one, and each document gets a score, empty texts too. Labels with a null doc_id or a label
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from . import words as W
 from .common import fresh, prepare, stored
 
-MAX_EXAMPLES, MAX_TERMS, MIN_DOCS, MIN_GAIN = 6000, 400, 5, 5.0
+MAX_EXAMPLES, MIN_DOCS, MIN_GAIN = 6000, 5, 5.0
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6)
 BIAS, SHARPNESS, NEAREST, BLOCK = 1.0, 8, 15, 64
@@ -177,17 +177,18 @@ def build(rows: pd.DataFrame, examples: pd.DataFrame, kept: np.ndarray, df: np.n
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, min_docs: int = MIN_DOCS, min_gain: float = MIN_GAIN) -> Index:
-    """labels: doc_id, label. The index is bounded by max_examples and max_terms."""
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, min_docs: int = MIN_DOCS, min_gain: float = MIN_GAIN) -> Index:
+    """labels: doc_id, label. The index is bounded by max_examples, since each kept term takes min_docs of them at least."""
     spark = docs.sparkSession
     prepare(spark)
     known = labels.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("label").cast("int")).alias("label"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    some = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples), "sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.join(F.broadcast(some), "doc_id")  # at most max_examples rows
     texts = texts.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = stored(texts.mapInArrow(_example_terms, "doc_id long, label int, term long, tf int"), "examples")
-    examples = some.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").toPandas()
+    examples = some.toPandas()
     n1 = int(examples["label"].sum()) if len(examples) else 0
     n0 = len(examples) - n1
     count = rows.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).filter(F.col("a") + F.col("b") >= min_docs)
@@ -199,14 +200,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     if n0 and n1:
         a0, b0 = n1 - F.col("a"), n0 - F.col("b")
         gain = part(F.col("a"), both * n1 / (n0 + n1)) + part(F.col("b"), both * n0 / (n0 + n1)) + part(a0, (n0 + n1 - both) * n1 / (n0 + n1)) + part(b0, (n0 + n1 - both) * n0 / (n0 + n1))
-        kept = count.withColumn("gain", gain).filter(F.col("gain") >= min_gain).orderBy(F.desc("gain"), "term").limit(max_terms)
+        kept = count.withColumn("gain", gain).filter(F.col("gain") >= min_gain)
     else:
         kept = count.limit(0)
     top = kept.select("term", (F.col("a") + F.col("b")).alias("df")).toPandas()
     order = np.argsort(top["term"].to_numpy(np.int64).view(np.uint64))
     terms_, df = top["term"].to_numpy(np.int64).view(np.uint64)[order], top["df"].to_numpy(np.float64)[order]
     ours = spark.createDataFrame([(int(x),) for x in terms_.view(np.int64)], "term long")
-    hits = rows.join(F.broadcast(ours), "term").select("doc_id", "term", "tf").toPandas()  # at most max_examples * max_terms
+    hits = rows.join(F.broadcast(ours), "term").select("doc_id", "term", "tf").toPandas()  # postings of max_examples texts
     return build(hits, examples, terms_, df)
 
 

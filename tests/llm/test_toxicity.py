@@ -83,3 +83,30 @@ def test_no_labels_and_no_documents(spark):
     one = spark.createDataFrame([(1, 1)], "doc_id long, label int")
     assert X.score(docs.limit(0), X.fit(docs, one)).count() == 0
     assert 0 <= X.score(docs, X.fit(docs, one)).first().score <= 1
+
+
+def test_all_labels_that_have_documents_are_used(spark):
+    """The bound is on examples, not on labels: most labels have no document here."""
+    rows = corpus(100)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, 0) for i in range(1000, 3000)], "doc_id long, label int")
+    assert X.fit(docs, labels, max_examples=150).count.sum() == 100
+    assert X.fit(docs, labels, max_examples=60).count.sum() == 60
+
+
+def test_many_toxic_words(spark):
+    """600 toxic words, of which a text has one or two: none is cut."""
+    rng = random.Random(5)
+    common, bad = [f"w{i}" for i in range(100)], [f"{chr(97 + i % 26)}{chr(97 + i // 26)}x{i}" for i in range(600)]
+    rows = [(i, " ".join([rng.choice(common) for _ in range(8)] + [bad[i // 2 % 600]] * (i % 2)), i % 2) for i in range(12_000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    index = X.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows if i < 10_800], "doc_id long, label int"), max_examples=10_800)
+    got = {r.doc_id: r.score for r in X.score(docs.filter("doc_id >= 10800"), index).collect()}
+    assert len(index.terms) > 500 and sum((got[i] >= X.THRESHOLD) == bool(y) for i, _, y in rows if i >= 10_800) > 0.97 * len(got)
+
+
+def test_very_long_text(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9000, "w1 w2 w3 " * 200_000), (9001, "w1 w2 w3 " * 200_000 + "villain " * 500_000)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in X.score(docs, X.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int"))).collect()}
+    assert got[9000] < 0.3 and got[9001] >= X.THRESHOLD
