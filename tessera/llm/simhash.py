@@ -1,7 +1,8 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Equal fingerprints are folded first, so copies cost nothing. Distinct fingerprints are dealt out by the bits of every pair of
-six blocks: two fingerprints that differ in at most four bits agree in two blocks at least, so they meet in some bucket. Inside a
+Equal fingerprints are folded first, so copies cost nothing. Distinct fingerprints are dealt out by m blocks of bits, by every m - 4 of
+them: two fingerprints that differ in at most four bits agree in m - 4 blocks at least, so they meet in some bucket. m is 5, and more only where
+there are so many fingerprints that buckets would hold more than a few thousand; no pair within the radius is lost either way. Inside a
 bucket the distances to the reference fingerprints (pivots) are laid out as a table sorted by the first pivot; a pair goes on only
 while no coordinate differs by more than the radius (triangle inequality), and survivors are verified by their true distance. Only
 links that join two groups not yet joined in that bucket come out: at most one fewer than its rows, however many pairs it has.
@@ -39,7 +40,8 @@ from .common import discard, fresh, partitions, prepare, stored
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Fingerprints in a bucket, if evenly spread, beyond which there are more blocks.
+BUCKET = 2048
 PIVOTS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 16, dtype=np.uint64, endpoint=False)
 BLOCK = 1 << 16
 #: near_dedup(): least similarity, words in a shingle, bands and minima in a band: a pair at 0.8 shares no band with probability 3e-6.
@@ -144,15 +146,30 @@ def _links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
-def links(fps: DataFrame, chunk: int = 4096) -> DataFrame:
+def blocks(n: int, bucket: int = BUCKET) -> list[int]:
+    """Sizes of the blocks of bits for n fingerprints."""
+    for m in range(RADIUS + 1, 17):
+        sizes = [64 // m + (i < 64 % m) for i in range(m)]
+        if bucket << sum(sizes[RADIUS:]) >= n:
+            break
+    return sizes
+
+
+def links(fps: DataFrame, chunk: int = 4096, bucket: int = BUCKET) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp), enough to connect each component. Rows of fps must be distinct."""
-    shift = np.cumsum([0, *BLOCKS])
+    sizes = blocks(fps.count(), bucket)
+    shift = np.cumsum([0, *sizes])
 
     def bits(k: int) -> Column:
-        return F.shiftrightunsigned("fp", int(shift[k])).bitwiseAND(F.lit((1 << BLOCKS[k]) - 1))
+        return F.shiftrightunsigned("fp", int(shift[k])).bitwiseAND(F.lit((1 << sizes[k]) - 1))
+
+    def key(n: int, some: tuple[int, ...]) -> Column:
+        out = F.lit(n).cast("long")
+        for k in some:
+            out = F.shiftleft(out, sizes[k]).bitwiseOR(bits(k))
+        return out
 
-    pairs = list(combinations(range(len(BLOCKS)), 2))
-    keys = F.array(*(F.shiftleft(F.lit(n).cast("long"), 22).bitwiseOR(F.shiftleft(bits(i), 11)).bitwiseOR(bits(j)) for n, (i, j) in enumerate(pairs)))
+    keys = F.array(*(key(n, some) for n, some in enumerate(combinations(range(len(sizes)), len(sizes) - RADIUS))))
     keyed = fps.select("fp", F.explode(keys).alias("key"))
     full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -200,7 +217,8 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         large = stored(large.distinct(), "large")
         small_min = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(small_min, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        star = stored(small.unionByName(small_min.select("a", F.col("m").alias("b"))).filter(F.col("a") != F.col("b")).distinct(), "star")
+        old, star = star, stored(small.unionByName(small_min.select("a", F.col("m").alias("b"))).filter(F.col("a") != F.col("b")).distinct(), "star")
+        discard(old, least, large, small_min)
         before, now = now, mark(star)
         if before == now:
             break

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessera.llm import simhash as S
@@ -37,7 +38,16 @@ def test_fingerprint():
     assert [S.fingerprint(t.encode()) for t in texts] == [brute_fingerprint(t) for t in texts]
 
 
-def test_links_connect_what_brute_force_connects(spark):
+def test_blocks_grow_with_the_fingerprints():
+    assert [len(S.blocks(n)) for n in (0, 10**6, 10**8, 10**10, 10**13)] == [5, 5, 6, 7, 9]
+    for n in (10, 10**9, 10**12):
+        sizes = S.blocks(n)
+        assert sum(sizes) == 64 and S.BUCKET << sum(sorted(sizes)[: len(sizes) - S.RADIUS]) >= n
+
+
+@pytest.mark.parametrize("sizes", [[13, 13, 13, 13, 12], [11, 11, 11, 11, 10, 10], [10, 9, 9, 9, 9, 9, 9]])
+def test_links_connect_what_brute_force_connects(spark, sizes, monkeypatch):
+    monkeypatch.setattr(S, "blocks", lambda n, bucket: sizes)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
     fps = [int(x) for x in base]
@@ -79,3 +89,10 @@ def test_groups_and_dedup(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted({ids[c] for c in comp}, key=repr)
     assert S.simhash_groups(df.limit(0)).count() == S.near_dedup(df.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 7919} {i * i % 104729}" for i in range(200_000))
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words here now")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in S.simhash_groups(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id for r in S.near_dedup(df).collect()} == {1, 3}
