@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, kneser_ney, mixing, topics, toxicity
 from .ann import search
-from .common import crc_mod, sha256_hex
+from .common import crc_mod, sha256_hex, stored
 from .line_dedup import line_dedup
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    own = docs.select("doc_id", "source", "lang", topics.form(F.col("text")).alias("topic"), mixing.n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("text_hash"))
+    own = topics.read(docs, topics.fit(docs)).select("doc_id", "source", "lang", "topic", "n_tokens", F.xxhash64("text").alias("text_hash"))
+    own = stored(own, "counted")  # texts are read once
     mixed = mixing.with_probability(own, mixing.fit(own, ["source", "lang", "topic"], alpha=0.7, keep=0.5))
     return mixed.withColumn("drawn", mixing.drawn(["doc_id", "text_hash"], "probability", seed=17)).drop("text_hash")
 
