@@ -3,9 +3,15 @@
 A tokenizer feeds a tree builder that knows void elements, raw-text elements and implied end tags; the tree is rendered to lines. Blocks
 stand on lines of their own, paragraphs, headings, lists, quotes and tables are set off by a blank line, list items get a marker
 and indentation, preformatted text keeps its white space, other white space is collapsed, and the cells of a table's columns are padded to
-equal width. Invisible are: what has no box (head, script, style, template, noscript and the like), elements with `hidden`, with display:none or
-visibility:hidden in their style attribute, hidden inputs and closed dialogs. visibility:visible inside hides no longer. Everything else that is
-visible comes out: navigation, footers and advertisements as well.
+equal width; cells keep their place beside others that span rows or columns. Invisible are: what has no box (head, script, style, template,
+noscript and the like), elements with `hidden`, with display:none or visibility hidden or collapse in their style attribute (the last valid
+declaration counts, important ones before others; a display that is given outweighs `hidden`), and closed dialogs. visibility visible or initial
+inside shows again, inherit and unset change nothing. Of inputs the captions (value) of buttons come out, of drawings the text of text and
+foreignObject elements, of formulas all but annotations. Everything else that is visible comes out: navigation, footers and advertisements as well.
+
+Time grows with the length of a page, and so does the output, whatever the nesting: indentation ends at MAX_INDENT columns; cells of several lines, or
+wider than MAX_CELL, don't count for the width of their column; a cell begins at column MAX_PAD at most, else two spaces after the one before;
+tables within more than MAX_TABLES others have their cells on lines of their own; MAX_SPAN bounds the rows and columns that a cell spans.
 
 Defined results: null and empty pages have an empty text. Unclosed and misnested tags are closed where HTML implies it, else with their parent;
 end tags without a start are ignored, but </p> and </br> act as HTML says. Rendering walks the tree without recursion, so depth is no limit.
@@ -17,6 +23,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -31,7 +39,15 @@ from .common import prepare
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes plaintext".split())
 ESCAPABLE_RAW = set("title textarea".split())
-NO_BOX = set("head script style template noscript iframe noembed noframes object audio video canvas datalist svg math rp area base col colgroup link meta param source track title".split())
+NO_BOX = set("head script style template noscript iframe noembed noframes object audio video canvas datalist rp area base col colgroup link meta param source track title".split())
+SVG_SHOWN, MATH_HIDDEN = {"text", "foreignobject"}, {"annotation", "annotation-xml"}
+SVG_HIDDEN = set("defs symbol metadata desc title clippath mask pattern marker lineargradient radialgradient script style".split())
+#: Start tags that end a drawing or formula, and the elements of these that hold HTML.
+ENDS_FOREIGN = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HTML_WITHIN = ("foreignobject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext")
+CAPTIONED = {"submit", "reset", "button"}
+DISPLAYS = set("block inline inline-block flex inline-flex grid inline-grid table inline-table table-row table-cell table-row-group table-header-group table-footer-group table-column table-column-group table-caption list-item contents flow-root flow ruby run-in none initial inherit unset revert".split())
+VISIBILITIES = {"visible": True, "initial": True, "hidden": False, "collapse": False, "inherit": None, "unset": None, "revert": None}
 BLOCKS = set("address article aside body center details dialog dd div dl dt fieldset figcaption figure footer form header hgroup html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table ul xmp blockquote h1 h2 h3 h4 h5 h6 hr caption tbody thead tfoot tr td th".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre table figure hr listing xmp plaintext".split())
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p pre search section summary table ul xmp dd dt plaintext".split())
@@ -56,14 +72,17 @@ ENDS = {
 ENDS |= {f"h{i}": ENDS["h1"] for i in range(2, 7)}
 #: A start tag that belongs in the body ends the head.
 IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title head html body".split())
-#: An end tag does not reach past these.
+#: An end tag does not reach past these; one of a table's part not past its table.
 SCOPE = {"table", "td", "th", "caption", "template", "html"}
+TABLE_PARTS = {"tr", "tbody", "thead", "tfoot", "td", "th", "caption"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
 LOOSE = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)>")
 ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\f\r]+")
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+MAX_INDENT, MAX_CELL, MAX_PAD, MAX_TABLES, MAX_SPAN = 40, 80, 240, 6, 200
 
 
 @dataclass(slots=True)
@@ -83,21 +102,24 @@ def attributes(text: str) -> dict[str, str]:
 def parse(html: str) -> Node:
     root = Node("#root")
     open_: list[Node] = [root]
-    at = 0
+    places: dict[str, list[int]] = {}  # of each name, where it stands in open_
+    at, gt = 0, -1
 
     def close(n: int) -> None:
+        for node in reversed(open_[n:]):
+            places[node.name].pop()
         del open_[n:]
 
+    def last(names: Iterable[str]) -> int:
+        """The innermost open element of names, 0 if there is none."""
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
     def end_any(names: set[str], barriers: set[str]) -> None:
         """Closes the outermost of names above the nearest barrier."""
-        found = 0
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].name in barriers:
-                break
-            if open_[i].name in names:
-                found = i
+        barrier = last(barriers)
+        found = [of[i] for x in names if (of := places.get(x)) and (i := bisect_right(of, barrier)) < len(of)]
         if found:
-            close(found)
+            close(min(found))
 
     def text(s: str) -> None:
         if s:
@@ -111,6 +133,13 @@ def parse(html: str) -> Node:
         if lt < 0:
             text(html[at:])
             break
+        if gt < lt:
+            gt = html.find(">", lt)
+            gt = gt if gt >= 0 else n
+        if gt == n and not html.startswith("<!--", lt):  # no tag ends from here on
+            end = html.find("<!--", lt)
+            text(html[at : end if end >= 0 else n])
+            break
         m = TOKEN.match(html, lt) or LOOSE.match(html, lt)
         if m is None:
             text(html[at : lt + 1])
@@ -125,21 +154,16 @@ def parse(html: str) -> Node:
             if name == "br":
                 open_[-1].children.append(Node("br"))
                 continue
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].name == name or name[0] == "h" and name[1:] in "123456" and re.fullmatch("h[1-6]", open_[i].name):
-                    close(i)
-                    break
-                if open_[i].name in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "html", "body", "caption"):
-                    i = 0
-                    break
-                if open_[i].name == "table" and name not in ("table", "html", "body"):
-                    i = 0
-                    break
-            else:
-                i = 0
-            if not i and name == "p":
+            barriers = ({"table"} if name in TABLE_PARTS else SCOPE) if name not in ("table", "html", "body") else ()
+            i = last(HEADINGS if name in HEADINGS else (name,))
+            if i and i >= last(barriers):
+                close(i)
+            elif name == "p":
                 open_[-1].children.append(Node("p"))
             continue
+        foreign = last(("svg", "math"))
+        if foreign and name in ENDS_FOREIGN and foreign > last(HTML_WITHIN):
+            close(foreign)
         if name not in IN_HEAD:
             end_any({"head"}, {"body", "template"})
         if name in ENDS_P:
@@ -148,7 +172,7 @@ def parse(html: str) -> Node:
             end_any(*ENDS[name])
         node = Node(name, attributes(m["attrs"]) if m["attrs"].strip(" \t\n\f\r/") else {})
         open_[-1].children.append(node)
-        if name in VOID:
+        if name in VOID or foreign and m["attrs"].endswith("/"):
             continue
         if name in RAW or name in ESCAPABLE_RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, at) if name != "plaintext" else None
@@ -157,6 +181,7 @@ def parse(html: str) -> Node:
                 node.children.append(unescape(inside) if name in ESCAPABLE_RAW else inside)
             at = end.end() if end else n
             continue
+        places.setdefault(name, []).append(len(open_))
         open_.append(node)
     return root
 
@@ -164,15 +189,25 @@ def parse(html: str) -> Node:
 def shown(node: Node) -> tuple[bool, bool | None]:
     """(has a box, visibility that it sets)."""
     a = node.attrs
-    if node.name in NO_BOX or "hidden" in a or node.name == "input" or node.name == "dialog" and "open" not in a:
+    if node.name in NO_BOX or node.name == "input" and a.get("type", "").strip().lower() not in CAPTIONED:
+        return False, None
+    display, visibility = declared(a["style"]) if a.get("style") else (None, None)
+    if display == "none" or display is None and ("hidden" in a or node.name == "dialog" and "open" not in a):
         return False, None
-    visibility = None
-    for k, v in HIDDEN_STYLE.findall(a.get("style", "")):
-        if k.lower() == "display" and v.lower() == "none":
-            return False, None
-        if k.lower() == "visibility":
-            visibility = v.lower() == "visible"
-    return True, visibility
+    return True, VISIBILITIES.get(visibility)
+
+
+def declared(style: str) -> tuple[str | None, str | None]:
+    """The display and the visibility that a style attribute sets."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in COMMENT.sub(" ", style).lower().split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip(), value.strip()
+        important = value.endswith("important") and value.removesuffix("important").rstrip().endswith("!")
+        value = value.partition("!")[0].strip()
+        if (value in VISIBILITIES if name == "visibility" else name == "display" and value in DISPLAYS) and important >= found.get(name, (False,))[0]:
+            found[name] = (important, value)
+    return tuple(found.get(k, (False, None))[1] for k in ("display", "visibility"))
 
 
 def width(text: str) -> int:
@@ -215,7 +250,7 @@ class Flow:
         self.gap = max(self.gap, gap)
 
     def put(self, line: str) -> None:
-        pad = " " * max(0, self.indent - len(self.marker)) + self.marker
+        pad = " " * max(0, min(self.indent, MAX_INDENT) - len(self.marker)) + self.marker
         self.marker = ""
         self.lines.append((pad + line).rstrip(" "))
 
@@ -246,34 +281,62 @@ class Flow:
         return self.lines
 
 
-def laid_out(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
-    """A table's rows of (columns spanned, lines), cells padded to their column's width and set two spaces apart."""
-    widths: list[int] = []
-    for row in rows:
-        i = 0
-        for span, lines in row:
-            widths += [0] * (i + span - len(widths))
-            if span == 1:
-                widths[i] = max([widths[i], *map(width, lines)])
-            i += span
+Cell = tuple[int, int, list[str]]  # columns and rows spanned (0: all that follow), lines
+
+
+def placed(rows: list[list[Cell]]) -> list[list[tuple[int, int, list[str]]]]:
+    """(column, columns spanned, lines) of each row's cells, beside those that reach down from above."""
+    taken: dict[int, float] = {}  # by column, the first row in which it is free again
     out = []
-    for row in rows:
-        for k in range(max([1, *(len(lines) for _, lines in row)]) if row else 0):
-            line, i, need = "", 0, 0
-            for span, lines in row:
+    for r, row in enumerate(rows):
+        at, cells = 0, []
+        for span, down, lines in row:
+            while at < MAX_SPAN and taken.get(at, 0) > r:
+                at += 1
+            for k in range(at, min(at + span, MAX_SPAN)) if down != 1 else ():
+                taken[k] = r + down if down else float("inf")
+            cells.append((at, span, lines))
+            at = min(at + span, MAX_SPAN)
+        out.append(cells)
+    return out
+
+
+def laid_out(rows: list[list[Cell]]) -> list[str]:
+    """A table's rows of cells, padded to their column's width and set two spaces apart."""
+    grid = placed(rows)
+    widths = [0] * (MAX_SPAN + 1)
+    for row in grid:
+        for at, span, lines in row:
+            if span == 1 and len(lines) == 1 and (n := width(lines[0])) <= MAX_CELL:
+                widths[at] = max(widths[at], n)
+    begins, begin = [], 0
+    for n in widths:
+        begins.append(min(begin, MAX_PAD))
+        begin += n + 2
+    out = []
+    for row in grid:
+        for k in range(max([1, *(len(lines) for *_, lines in row)]) if row else 0):
+            line, long = "", 0
+            for at, _, lines in row:
                 part = lines[k] if k < len(lines) else ""
-                line += " " * max(0, need - width(line)) + part
-                i += span
-                need = sum(widths[:i]) + 2 * i
+                if part:
+                    pad = max(begins[at] - long, 2 if long else 0)
+                    line += " " * pad + part
+                    long += pad + width(part)
             out.append(line.rstrip(" "))
     while out and not out[-1]:
         out.pop()
-    return [x for x in out if x] if all(len(lines) <= 1 for row in rows for _, lines in row) else out
+    return [x for x in out if x] if all(len(lines) <= 1 for row in rows for *_, lines in row) else out
 
 
 class _Table:
     def __init__(self):
-        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.rows: list[list[Cell]] = []
+
+
+def spanned(node: Node, name: str, least: int) -> int:
+    value = node.attrs.get(name, "1").strip()
+    return min(MAX_SPAN, max(least, int(value))) if re.fullmatch(r"[0-9]{1,9}", value) else 1
 
 
 def render(html: str) -> str:
@@ -283,17 +346,18 @@ def render(html: str) -> str:
     tables: list[_Table] = []
     lists: list[list] = []  # [ordered, next number]
     pre = 0
+    inside: list[str] = []  # svg and math elements that are open
     todo: list[tuple] = [("open", parse(html), True)]
     while todo:
         what, node, visible = todo.pop()
         if what == "text":
-            if visible:
+            if visible and not (inside and inside[-1] == "svg"):
                 flow.preformatted(node) if pre else flow.words(node)
             continue
         name = node.name
         if what == "open":
             box, sets = shown(node)
-            if not box:
+            if not box or inside and name in (SVG_HIDDEN if inside[-1] != "math" else MATH_HIDDEN):
                 continue
             visible = visible if sets is None else sets
             if name == "br":
@@ -301,9 +365,20 @@ def render(html: str) -> str:
                 continue
             if name == "img":
                 continue
-            if name in ("td", "th") and tables:
+            if name == "input":
+                if visible and node.attrs.get("value"):
+                    flow.words(node.attrs["value"])
+                continue
+            if name in ("svg", "math"):
+                inside.append(name)
+            elif inside and name in SVG_SHOWN:
+                flow.end(1)
+                inside.append(name)
+            if inside and name not in SVG_SHOWN and inside[-1] in ("svg", "math"):
+                pass
+            elif name in ("td", "th") and 0 < len(tables) <= MAX_TABLES:
                 flows.append(flow := Flow())
-            elif name == "tr" and tables:
+            elif name == "tr" and 0 < len(tables) <= MAX_TABLES:
                 tables[-1].rows.append([])
             elif name in BLOCKS:
                 flow.end(2 if name in SPACED and not (lists and name in ("ul", "ol", "menu")) else 1)
@@ -329,15 +404,20 @@ def render(html: str) -> str:
             todo.append(("close", node, visible))
             todo += [("text" if isinstance(c, str) else "open", c, visible) for c in reversed(node.children)]
             continue
-        if name in ("td", "th") and tables:
+        if inside and name == inside[-1]:
+            inside.pop()
+            if name in SVG_SHOWN:
+                flow.end(1)
+        elif inside and inside[-1] in ("svg", "math"):
+            pass
+        elif name in ("td", "th") and 0 < len(tables) <= MAX_TABLES:
             lines = flow.done()
             flows.pop()
             flow = flows[-1]
-            span = node.attrs.get("colspan", "1")
             if not tables[-1].rows:
                 tables[-1].rows.append([])
-            tables[-1].rows[-1].append((min(1000, max(1, int(span))) if re.fullmatch(r"\d{1,4}", span) else 1, lines))
-        elif name in BLOCKS and not (name == "tr" and tables):
+            tables[-1].rows[-1].append((spanned(node, "colspan", 1), spanned(node, "rowspan", 0), lines))
+        elif name in BLOCKS and not (name == "tr" and 0 < len(tables) <= MAX_TABLES):
             if name in ("pre", "listing", "xmp", "plaintext"):
                 pre -= 1
             flow.end(1)
