@@ -3,15 +3,20 @@
 Texts are compared in normal form: lower case, runs of anything but letters and digits as one space. A document holds an item of m
 characters if some part of it is within e = `rate` * m edits of it. Such a part shares at least T = m - q + 1 - q * e character q-grams with
 the item (q-gram lemma), on diagonals (place in the document minus place in the item) that differ by e at most. Diagonals are cut into
-overlapping bands of width 2 (e + 1), so that one band has them all; bands with T hits or more are regions. A region is verified by an
-alignment restricted to the band's diagonals; an exact occurrence needs none.
+overlapping bands of width 2 (e + 1), so that one band has them all; bands with T hits or more are regions, neighbouring ones together. A region is
+verified by an alignment restricted to its diagonals; an exact occurrence needs none. Every disjoint part that verifies is returned.
+
+Where q-grams would leave an item fewer than e edits (T under 1), grams of SHORT_Q characters take their place; an item of fewer than q characters
+counts where its whole tokens occur. Pairs of equal grams are met for one item and one stretch of the text at a time, so that memory grows with the
+text and not with the pairs, however often both repeat a gram.
 
 The q-gram index is sent to the workers in shards of at most `shard_chars` characters of items; documents are scanned once a shard.
 
-Defined results: an item with fewer than q characters in normal form is ignored, since it says nothing; where T would fall under 1, e is less. A null
+Defined results: an item without letters and digits is ignored, since it says nothing. With other rates than the given one e is less where T
+would be under 1 even so. A null
 text is empty and clean, a null item is ignored; item_id may be null or repeated, each row of the benchmark is an item. Without items all
 documents are clean. Repeated rows come out as often as they went in; other columns go through unchanged; `matches` (or the name given) is replaced: an array
-of (item_id, start, edits), with the place in the normal form where the band begins, empty for clean documents.
+of (item_id, start, edits), with the place in the normal form where the part begins (by the item's length before its end), empty for clean documents.
 """
 
 from __future__ import annotations
@@ -29,7 +34,9 @@ from pyspark.sql import types as T
 from . import words as W
 from .common import fresh, key_hash, prepare, stored
 
-Q, RATE, SHARD_CHARS = 7, 0.12, 4_000_000
+Q, SHORT_Q, RATE, SHARD_CHARS = 7, 4, 0.12, 4_000_000
+#: Pairs of equal q-grams, and cells of a run, that are looked at at a time.
+HITS, RUN = 1_000_000, 4096
 _OTHER = re.compile(r"[\W_]+")
 BITS = 22
 
@@ -57,8 +64,9 @@ def budget(m: int, q: int = Q, rate: float = RATE) -> tuple[int, int]:
     return e, m - q + 1 - q * e
 
 
-def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> int | None:
-    """The fewest edits that turn some part of text into item, over alignments that stay on diagonals low..high; None if over `most`."""
+def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> np.ndarray:
+    """For each diagonal low..high the fewest edits that turn a part of text, ending there, into item, by alignments that stay on these diagonals;
+    all are over `most` where none is within."""
     width = high - low + 1
     far = most + 1
     at = np.arange(width)
@@ -72,12 +80,35 @@ def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -
         new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # a character of the item only
         new[(j < 0) | (j > len(text))] = far
         row = np.minimum(np.minimum.accumulate(new - at) + at, far)  # characters of the text only
+        row[(j < 0) | (j > len(text))] = far
         if row.min() > most:
-            return None
-    return int(row.min())
+            break
+    return row
+
+
+def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> int | None:
+    """The fewest edits that turn some part of text into item, over alignments that stay on diagonals low..high; None if over `most`."""
+    found = int(aligned(item, text, low, high, most).min())
+    return found if found <= most else None
+
+
+def regions(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> list[tuple[int, int]]:
+    """(end in text, edits) of disjoint parts of text within `most` edits of item, over alignments that stay on diagonals low..high."""
+    row = aligned(item, text, low, high, most)
+    ends, out, free = np.flatnonzero(row <= most), [], -1
+    for k in ends.tolist():
+        if k < free:
+            continue
+        near = ends[np.searchsorted(ends, k) : np.searchsorted(ends, k + most + 1)]
+        best = int(near[np.argmin(row[near])])
+        out.append((len(item) + low + best, int(row[best])))
+        free = best + max(1, len(item) - most)
+    return out
 
 
 class Index:
+    """Items of Q characters or more, by their q-grams."""
+
     def __init__(self, items: list[tuple[int | None, str]], q: int, rate: float):
         found = [(i, t) for i, t in items if len(t) >= q]
         self.q, self.ids, self.texts = q, [i for i, _ in found], [t for _, t in found]
@@ -85,11 +116,17 @@ class Index:
         self.edits, self.least = (np.array(x, np.int64) for x in zip(*(budget(len(c), q, rate) for c in self.codes))) if found else (np.zeros(0, np.int64),) * 2
         h = np.concatenate([np.zeros(0, W.U), *(grams(c, q) for c in self.codes)])
         item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(c) - q + 1, n) for n, c in enumerate(self.codes))])
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(c) - q + 1) for c in self.codes)])
         order = np.argsort(h, kind="stable")
-        self.h, first = np.unique(h[order], return_index=True)
-        self.first = np.append(first, len(h))
-        self.item, self.place = item[order], place[order]
+        self.h, first, gram = np.unique(h, return_index=True, return_inverse=True)
+        self.first = np.searchsorted(h[order], self.h)
+        self.first = np.append(self.first, len(h))
+        self.item = item[order]
+        # of each item its grams, sorted, and their places
+        cut = np.searchsorted(item, np.arange(len(found) + 1))
+        self.own = []
+        for a, b in zip(cut[:-1], cut[1:]):
+            place = np.argsort(gram[a:b], kind="stable")
+            self.own.append((gram[a:b][place], place))
         self.some = np.zeros(1 << BITS, bool)
         self.some[(self.h >> W.U(64 - BITS)).astype(np.int64)] = True
 
@@ -102,46 +139,100 @@ class Index:
         g = np.minimum(np.searchsorted(self.h, h[at]), len(self.h) - 1)
         hit = self.h[g] == h[at]
         at, g = at[hit], g[hit]
-        n = self.first[g + 1] - self.first[g]
-        total = int(n.sum())
-        if not total:
+        if not len(at):
             return []
-        which = np.repeat(self.first[g] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
-        item = self.item[which]
-        enough = np.bincount(item, minlength=len(self.ids)) >= self.least
-        if not enough.any():
+        # the places of each item that the text has anywhere: no region can have more
+        there = np.unique(g)
+        n = self.first[there + 1] - self.first[there]
+        which = np.repeat(self.first[there] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        enough = np.bincount(self.item[which], minlength=len(self.ids)) >= self.least
+        return [m for i in np.flatnonzero(enough).tolist() for m in self._found(i, text, c, at, g)]
+
+    def _found(self, i: int, text: str, c: np.ndarray, at: np.ndarray, g: np.ndarray) -> list[dict]:
+        """The disjoint regions of the text that hold item i. Memory: the text, and HITS places at a time."""
+        own, place = self.own[i]
+        lo = np.searchsorted(own, g)
+        hit = own[np.minimum(lo, len(own) - 1)] == g
+        at, lo = at[hit], lo[hit]
+        n = np.searchsorted(own, g[hit], "right") - lo
+        e, m, least = int(self.edits[i]), len(self.codes[i]), int(self.least[i])
+        if not len(at) or n.sum() < least:
             return []
-        keep = np.flatnonzero(enough[item])
-        item, place = item[keep], self.place[which[keep]]
         # cells of e + 1 diagonals; a band is a cell and the next one
-        cell = (item << 40) + (1 << 39) + (np.repeat(at, n)[keep] - place) // (self.edits[item] + 1)
-        order = np.argsort(cell)
-        cell, place = cell[order], place[order]
-        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        cells, size = cell[first], np.diff(np.append(first, len(cell)))
-        nexts = np.append(cells[1:] == cells[:-1] + 1, False)
-        count = size + np.where(nexts, np.append(size[1:], 0), 0)
-        # a band may begin with the cell before as well: that is the one before's band, or an empty cell and this one, counted here
-        good = np.flatnonzero(count >= self.least[cells >> 40])
-        out, done = [], set()
-        for g in good.tolist():
-            i = int(cells[g] >> 40)
-            if i in done or len(np.unique(place[first[g] : first[g] + count[g]])) < self.least[i]:
-                continue
-            e = int(self.edits[i])
-            low = (int(cells[g] & ((1 << 40) - 1)) - (1 << 39)) * (e + 1)
-            start = text.find(self.texts[i], max(0, low), max(0, low + 2 * e + 2) + len(self.texts[i]))
-            edits = 0 if start >= 0 else banded(self.codes[i], c, low - e - 1, low + 2 * e + 1, e)
-            if edits is not None:
-                done.add(i)
-                out.append({"item_id": self.ids[i], "start": max(0, low) if start < 0 else start, "edits": edits})
+        base = (int(at[0]) - m) // (e + 1)
+        count = np.zeros((int(at[-1]) + 1) // (e + 1) - base + 2, np.int64)
+        parts = np.searchsorted(np.cumsum(n), np.arange(HITS, int(n.sum()) + HITS, HITS), "right") if n.sum() > HITS else [len(at)]
+        a, kept = 0, []
+        for b in sorted({min(max(int(x), 1), len(at)) for x in [*parts, len(at)]}):
+            size = n[a:b]
+            total = int(size.sum())
+            of = np.repeat(lo[a:b] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
+            cell = (np.repeat(at[a:b], size) - place[of]) // (e + 1) - base
+            least_cell = int(cell.min()) if total else 0
+            step = np.bincount(cell - least_cell)
+            count[least_cell : least_cell + len(step)] += step
+            kept.append((cell, place[of]))
+            if b < len(at):
+                kept = []  # too many to look at their places
+            a = b
+        band = count[:-1] + count[1:]
+        good = np.flatnonzero((band >= least) & (count[:-1] > 0))
+        if len(parts) == 1 and len(good):
+            cell, places = kept[0]
+            order = np.argsort(cell, kind="stable")
+            cell, places = cell[order], places[order]
+            good = good[[len(np.unique(places[slice(*np.searchsorted(cell, [k, k + 2]))])) >= least for k in good.tolist()]]
+        out, free = [], -1
+        for run in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1) if len(good) else []:
+            for k in range(0, len(run), RUN):
+                low, high = ((int(x) + base) * (e + 1) for x in (run[k], run[min(k + RUN, len(run)) - 1]))
+                start = text.find(self.texts[i], max(0, low), max(0, high + 2 * e + 2) + m) if len(run) <= 3 else -1
+                for end, edits in [(start + m, 0)] if start >= 0 else regions(self.codes[i], c, low - e - 1, high + 2 * e + 1, e):
+                    if end - m + e >= free:  # runs may meet in one region
+                        out.append({"item_id": self.ids[i], "start": max(0, end - m), "edits": edits})
+                        free = end
         return out
 
 
+class Tokens:
+    """Items too short for q-grams: equal runs of whole tokens."""
+
+    def __init__(self, items: list[tuple[int | None, str]], q: int):
+        self.items: dict[tuple[str, ...], list] = {}
+        for i, t in items:
+            if t and len(t) < q:
+                self.items.setdefault(tuple(t.split(" ")), []).append(i)
+        self.sizes = sorted({len(k) for k in self.items})
+
+    def matches(self, text: str) -> list[dict]:
+        if not self.items:
+            return []
+        words = text.split(" ")
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        out = []
+        for n in self.sizes:
+            for k, run in enumerate(zip(*(words[j:] for j in range(n)))):
+                out += [{"item_id": i, "start": int(starts[k]), "edits": 0} for i in self.items.get(run, ())]
+        return out
+
+
+class Matcher:
+    """All items: by Q-grams of q characters where these leave the whole edit budget, else of SHORT_Q, else by tokens."""
+
+    def __init__(self, items: list[tuple[int | None, str]], q: int, rate: float):
+        whole = [(i, t) for i, t in items if len(t) >= q and budget(len(t), q, rate)[0] == int(rate * len(t))]
+        rest = [(i, t) for i, t in items if len(t) >= q and budget(len(t), q, rate)[0] < int(rate * len(t))]
+        small = min(q, SHORT_Q)
+        self.ways = [w for w, n in ((Index(whole, q, rate), len(whole)), (Index(rest, small, rate), len(rest)), (Tokens(items, q), 1)) if n]
+
+    def matches(self, text: str) -> list[dict]:
+        return [m for way in self.ways for m in way.matches(text)]
+
+
 FORM = T.ArrayType(T.StructType().add("item_id", "long").add("start", "long").add("edits", "integer"))
 
 
-def _matcher(index: Index):
+def _matcher(index: Matcher):
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([index.matches(normal(t)) for t in texts], dtype=object)
 
@@ -159,7 +250,7 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
 
     def matches(s: int) -> Column:
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect()  # about shard_chars characters
-        return F.pandas_udf(_matcher(Index([(r.item_id, normal(r.text)) for r in rows], q, rate)), FORM)(F.coalesce("text", F.lit("")))
+        return F.pandas_udf(_matcher(Matcher([(r.item_id, normal(r.text)) for r in rows], q, rate)), FORM)(F.coalesce("text", F.lit("")))
 
     if shards == 1:
         return own.withColumn(into, matches(0))

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 from tessera.llm import decontaminate as D
 
@@ -46,12 +47,15 @@ def cases(seed, n=60):
 def test_against_full_alignment():
     for seed in range(4):
         items, texts = cases(seed)
-        index = D.Index(list(enumerate(map(D.normal, items))), D.Q, D.RATE)
+        index = D.Matcher(list(enumerate(map(D.normal, items))), D.Q, D.RATE)
         for t in map(D.normal, texts):
-            want = {i for i, x in enumerate(map(D.normal, items)) if len(x) >= D.Q and infix(x, t) <= D.budget(len(x))[0]}
+            want = {i: infix(x, t) for i, x in enumerate(map(D.normal, items)) if infix(x, t) <= int(D.RATE * len(x))}
             got = index.matches(t)
-            assert {m["item_id"] for m in got} == want
-            assert all(m["edits"] <= D.budget(len(D.normal(items[m["item_id"]])))[0] for m in got)
+            assert {m["item_id"] for m in got} == set(want)
+            assert all(min(m["edits"] for m in got if m["item_id"] == i) == n for i, n in want.items())
+            for m in got:
+                x = D.normal(items[m["item_id"]])
+                assert infix(x, t[max(0, m["start"] - len(x) // 4) : m["start"] + len(x)]) == m["edits"] <= D.RATE * len(x)
 
 
 def test_budget_leaves_something_to_share():
@@ -75,7 +79,7 @@ def test_frames(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (None, "so: " + items[0].upper().replace(" ", "\n -")), (1, texts[1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS matches", "1 AS key").repartition(3)
     bench = spark.createDataFrame([*enumerate(items), (77, None), (None, "ab"), (None, "")], "item_id long, text string")
-    index = D.Index(list(enumerate(map(D.normal, items))), D.Q, D.RATE)
+    index = D.Matcher(list(enumerate(map(D.normal, items))), D.Q, D.RATE)
     want = sorted(((i, tuple(sorted(m["item_id"] for m in index.matches(D.normal(t))))) for i, t in rows), key=repr)
     for size in (D.SHARD_CHARS, 200):
         got = D.find(docs, bench, shard_chars=size)
@@ -95,4 +99,40 @@ def test_twelve_percent_edits_are_found():
         text = list(item)
         for at in rng.sample(range(m), int(0.12 * m)):
             text[at] = rng.choice("xyzqj")
-        assert D.Index([(1, item)], D.Q, D.RATE).matches("before " + "".join(text) + " after")
+        assert D.Matcher([(1, item)], D.Q, D.RATE).matches("before " + "".join(text) + " after")
+
+
+def test_every_length_has_its_whole_budget():
+    rng = random.Random(4)
+    for m in range(D.Q, 130):
+        e = int(D.RATE * m)
+        item = "".join(rng.choice("abcdefghijklmnop") for _ in range(m))
+        text = list(item)
+        for k in range(e):
+            text[int((k + 0.5) * m / e)] = "z"
+        found = D.Matcher([(1, item)], D.Q, D.RATE).matches("q" * 20 + "".join(text) + "q" * 20)
+        assert [(x["item_id"], x["start"], x["edits"]) for x in found] == [(1, 20, e)]
+
+
+def test_all_regions_and_short_items():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7)))
+    item, filler = " ".join(word() for _ in range(20)), [" ".join(word() for _ in range(40)) for _ in range(3)]
+    text = f"{filler[0]} {item} {filler[1]} {edited(rng, item, 5)} {item} {filler[2]}"
+    got = D.Matcher([(1, item)], D.Q, D.RATE).matches(text)
+    assert [m["edits"] == 0 for m in got] in ([True, False, True], [True, True, True]) and len(got) == 3
+    assert got[0]["start"] == text.index(item)
+    short = D.Matcher([(1, "yes"), (2, "a b"), (3, "7"), (3, ""), (4, "yes")], D.Q, D.RATE)
+    assert [(m["item_id"], m["start"]) for m in short.matches("yes a b 77 yesterday yes")] == [(1, 0), (4, 0), (1, 21), (4, 21), (2, 4)]
+
+
+def test_repetition_takes_bounded_memory():
+    """Each place of the item meets each of the text: a billion pairs, and as many bands as the text has diagonals."""
+    item, text = ("ha " * 100).strip(), ("ha " * 700_000).strip()
+    tracemalloc.start()
+    got = D.Matcher([(1, item)], D.Q, D.RATE).matches(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and len(got) > 1000 and all(m["edits"] == 0 for m in got)
+    starts = [m["start"] for m in got]
+    assert all(b - a >= len(item) * (1 - D.RATE) - 2 for a, b in zip(starts, starts[1:]))

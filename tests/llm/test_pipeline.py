@@ -66,7 +66,7 @@ def test_stages(spark, corpus):
     for a in sorted((x for x in fps if x is not None)):
         left -= {b for b in fps if b is not None and b > a and bin(fps[a] ^ fps[b]).count("1") <= 4}
     assert ids["near dedup"] == left
-    index = decontaminate.Index([(i, decontaminate.normal(b)) for i, b in enumerate(bench)], decontaminate.Q, decontaminate.RATE)
+    index = decontaminate.Matcher([(i, decontaminate.normal(b)) for i, b in enumerate(bench)], decontaminate.Q, decontaminate.RATE)
     clean = {r[0] for r in kept["near dedup"] if not index.matches(decontaminate.normal(r[1]))}
     assert ids["decontamination"] == clean and not clean & {41, 43}
     assert ids["mixing"] < clean
