@@ -116,11 +116,11 @@ class Index:
         self.edits, self.least = (np.array(x, np.int64) for x in zip(*(budget(len(c), q, rate) for c in self.codes))) if found else (np.zeros(0, np.int64),) * 2
         h = np.concatenate([np.zeros(0, W.U), *(grams(c, q) for c in self.codes)])
         item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(c) - q + 1, n) for n, c in enumerate(self.codes))])
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(c) - q + 1) for c in self.codes)])
         order = np.argsort(h, kind="stable")
-        self.h, first, gram = np.unique(h, return_index=True, return_inverse=True)
-        self.first = np.searchsorted(h[order], self.h)
-        self.first = np.append(self.first, len(h))
-        self.item = item[order]
+        self.h, gram = np.unique(h, return_inverse=True)
+        self.first = np.append(np.searchsorted(h[order], self.h), len(h))
+        self.item, self.place = item[order], place[order]
         # of each item its grams, sorted, and their places
         cut = np.searchsorted(item, np.arange(len(found) + 1))
         self.own = []
@@ -141,12 +141,30 @@ class Index:
         at, g = at[hit], g[hit]
         if not len(at):
             return []
-        # the places of each item that the text has anywhere: no region can have more
-        there = np.unique(g)
-        n = self.first[there + 1] - self.first[there]
-        which = np.repeat(self.first[there] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        enough = np.bincount(self.item[which], minlength=len(self.ids)) >= self.least
-        return [m for i in np.flatnonzero(enough).tolist() for m in self._found(i, text, c, at, g)]
+        n = self.first[g + 1] - self.first[g]
+        if n.sum() <= HITS:
+            items = self._banded(at, self._postings(g, n), n)
+        else:  # the places of each item that the text has anywhere: no region can have more
+            there = np.unique(g)
+            which = self._postings(there, self.first[there + 1] - self.first[there])
+            items = np.flatnonzero(np.bincount(self.item[which], minlength=len(self.ids)) >= self.least)
+        return [m for i in items.tolist() for m in self._found(i, text, c, at, g)]
+
+    def _postings(self, g: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.repeat(self.first[g] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+
+    def _banded(self, at: np.ndarray, which: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The items of which some band has enough hits, for all items at once."""
+        item = self.item[which]
+        keep = np.flatnonzero((np.bincount(item, minlength=len(self.ids)) >= self.least)[item])
+        if not len(keep):
+            return keep
+        item = item[keep]
+        cell = np.sort((item << 40) + (1 << 39) + (np.repeat(at, n)[keep] - self.place[which[keep]]) // (self.edits[item] + 1))
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        cells, size = cell[first], np.diff(np.append(first, len(cell)))
+        count = size + np.append(np.where(cells[1:] == cells[:-1] + 1, size[1:], 0), 0)
+        return np.unique(cells[count >= self.least[cells >> 40]] >> 40)
 
     def _found(self, i: int, text: str, c: np.ndarray, at: np.ndarray, g: np.ndarray) -> list[dict]:
         """The disjoint regions of the text that hold item i. Memory: the text, and HITS places at a time."""
