@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A vector is hashed in each table by a pseudo-rotation (three rounds of random signs and a fast Hadamard transform) to the
-nearest of the signed axes. Every vector is indexed in all tables; a query probes in each table the axes that its rotated vector
-points at most. Candidates of a bucket are scored exactly, in double precision, and the best of each bucket go on. Directions alone are hashed,
+nearest of the signed axes; with more rows by several rotations, of the last of which only some axes count, so that buckets keep to about
+PER_BUCKET rows. Every vector is indexed in all tables; a query probes in each table the joint axes that its rotated vectors
+point at most (least sum of squared distances to the nearest). Candidates of a bucket are scored exactly, in double precision, and the best of each
+bucket go on, those with equal scores by smallest id. Directions alone are hashed,
 whatever the norms; a sample of queries is compared with all rows first, and its true neighbours, found by inner product, tell how many probes it
 takes to meet a share `recall` of them. Where so many probes would move more rows than a comparison with all rows, and for queries with
 fewer than k candidates found, all rows are compared, in blocks.
@@ -18,6 +20,7 @@ have no inner product and do not meet. Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +30,13 @@ from pyspark.sql import functions as F
 from .common import key_hash, partitions, prepare, stored
 
 #: Probes are at least PROBES, and as many as RECALL takes on SAMPLE query classes.
-TABLES, PROBES, SEED, RECALL, SAMPLE = 16, 8, 11, 0.95, 128
+TABLES, PROBES, SEED, RECALL, SAMPLE, PER_BUCKET = 16, 8, 11, 0.95, 128, 256
+#: Probes in a table that are considered, at most, and rows and joint axes that are sorted at a time.
+MOST_PROBES, AT_ONCE = 4096, 1 << 22
 #: Found rows that a task holds before it keeps each query's best only.
 HELD = 400_000
-#: Columns of both sides of a bucket; query rows sort behind the bucket's classes.
-ROW = "bucket long, part int, is_query boolean, h1 long, h2 long, least long, v array<double>"
+#: Columns of both sides of a bucket, but for the vector; query rows sort behind the bucket's classes.
+ROW = "bucket long, part int, is_query boolean, h1 long, h2 long, least long"
 
 
 def valid(v: Column) -> Column:
@@ -61,11 +66,37 @@ def directions(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """The nearest signed axes, nearest first: 2 * axis + (1 for the positive end)."""
-    r = rotated(x, table)
-    both = np.stack([-r, r], axis=2).reshape(len(r), -1)
-    return np.argsort(-both, axis=1, kind="stable")[:, :probes]
+def levels(d: int, n: int, per_bucket: int) -> list[int]:
+    """Axes of each rotation that count, for n vectors of d dimensions."""
+    full = 1 << max(0, (d - 1).bit_length())
+    out, buckets = [full], 2 * full
+    while out[-1] == full:
+        fit = [w for w in (1 << i for i in range(1, full.bit_length())) if buckets * 2 * w * per_bucket <= n]
+        if not fit:
+            break
+        out.append(fit[-1])
+        buckets *= 2 * fit[-1]
+    return out
+
+
+def axes(x: np.ndarray, table: int, probes: int, widths: list[int]) -> np.ndarray:
+    """The nearest joint axes, nearest first: a number with a digit for each rotation, 2 * axis + (1 for the positive end). Without rotations 0."""
+    if not widths:
+        return np.zeros((len(x), 1), np.int64)
+    step = max(1, AT_ONCE // (min(probes, 2 * widths[0]) * 2 * widths[0]))
+    return np.concatenate([_axes(x[i : i + step], table, probes, widths) for i in range(0, len(x), step)] or [np.zeros((0, 1), np.int64)])
+
+
+def _axes(x: np.ndarray, table: int, probes: int, widths: list[int]) -> np.ndarray:
+    code, total = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+    for level, w in enumerate(widths):
+        r = rotated(x, table + 1000 * level)[:, :w]
+        both = np.stack([-r, r], axis=2).reshape(len(r), -1)
+        total = (total[:, :, None] + ((both.max(axis=1, keepdims=True) - both) ** 2)[:, None, :]).reshape(len(r), -1)
+        code = (code[:, :, None] * (2 * w) + np.arange(2 * w)).reshape(len(r), -1)
+        order = np.argsort(total, axis=1, kind="stable")[:, :probes]  # a joint axis among the nearest has a beginning among the nearest
+        code, total = (np.take_along_axis(y, order, 1) for y in (code, total))
+    return code
 
 
 def _vectors(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -77,14 +108,14 @@ def _vectors(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat.reshape(len(rows), d)
 
 
-def _hashed(tables: int, probes: int, is_query: bool):
+def _hashed(tables: int, probes: int, widths: dict[int, list[int]], is_query: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             h1, h2, least = (batch.column(k).to_numpy() for k in ("h1", "h2", "least"))
             for rows, x in _vectors(batch.column("v")):
-                unit = directions(x)
+                unit = directions(x.astype(np.float64))
                 for t in range(tables):
-                    key = axes(unit, t, probes)
+                    key = axes(unit, t, probes, widths.get(x.shape[1], []))
                     n = key.shape[1]
                     bucket = (np.int64(x.shape[1]) << np.int64(40)) + (np.int64(t) << np.int64(32)) + key.ravel()
                     own = np.repeat(rows, n)
@@ -100,6 +131,20 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, x)
 
 
+def _chosen(v: np.ndarray, x: np.ndarray, least: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of v, row of x, exact product): for each v the `most` best of x, equal products by `least`."""
+    score = v @ x.T  # in an order of addition of its own
+    n = min(most, len(x))
+    slack = 1e-10 * np.linalg.norm(v, axis=1) * np.linalg.norm(x, axis=1).max()
+    q, c = np.nonzero(score >= (-np.partition(-score, n - 1, axis=1)[:, n - 1] - slack)[:, None])
+    got = np.concatenate([exact(v[q[i : i + 50_000]], x[c[i : i + 50_000]]) for i in range(0, len(q), 50_000)])
+    order = np.lexsort((least[c], -got, q))
+    q, c, got = q[order], c[order], got[order]
+    at = np.searchsorted(q, np.arange(len(v)))
+    keep = np.arange(len(q)) - at[q] < n
+    return q[keep], c[keep], got[keep]
+
+
 def _pruned(rows: list[list[np.ndarray]], most: int) -> list[np.ndarray]:
     """q1, q2, c1, c2, least, score: each query's best classes, each class once."""
     cols = [np.concatenate(x) for x in zip(*rows)]
@@ -128,7 +173,7 @@ def _best(k: int):
                 here = (bucket[a], part[a])
                 if here != place:
                     place, parts, x = here, [], None
-                v = batch.column("v").slice(a, b - a).flatten().to_numpy().reshape(b - a, -1)
+                v = batch.column("v").slice(a, b - a).flatten().to_numpy().reshape(b - a, -1).astype(np.float64)
                 if not query[a]:
                     parts.append((v, h[a:b]))
                     continue
@@ -136,11 +181,8 @@ def _best(k: int):
                     continue
                 if x is None:
                     x, ids = (np.concatenate(y) for y in zip(*parts))
-                score = v @ x.T
-                n = min(most, len(x))
-                top = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                q, c = np.repeat(np.arange(len(v)), n), top.ravel()
-                yield [h[a:b][q, 0], h[a:b][q, 1], ids[c, 0], ids[c, 1], ids[c, 2], exact(v[q], x[c])]
+                q, c, score = _chosen(v, x, ids[:, 2], most)
+                yield [h[a:b][q, 0], h[a:b][q, 1], ids[c, 0], ids[c, 1], ids[c, 2], score]
 
     def out(rows: list[np.ndarray]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(y) for y in rows], names=["q1", "q2", "c1", "c2", "least", "score"])
@@ -162,13 +204,15 @@ def _best(k: int):
     return run
 
 
-def _search(index: DataFrame, asked: DataFrame, k: int, tables: int, probes: int, chunk: int) -> DataFrame:
+def _search(index: DataFrame, asked: DataFrame, k: int, tables: int, probes: int, chunk: int, widths: dict[int, list[int]]) -> DataFrame:
     """q1, q2, c1, c2, score: the best classes of each query class."""
     spark = index.sparkSession
-    rows = index.mapInArrow(_hashed(tables, 1, False), ROW)
-    ask = asked.mapInArrow(_hashed(tables, probes, True), ROW)
-    # at most tables x 2 x dimensions buckets
-    parts = F.broadcast(rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts")))
+    form = f"{ROW}, v {dict(index.dtypes)['v']}"
+    rows = index.mapInArrow(_hashed(tables, 1, widths, False), form)
+    ask = asked.mapInArrow(_hashed(tables, probes, widths, True), form)
+    parts = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
+    if all(len(w) < 2 for w in widths.values()):  # at most tables x 2 x dimensions buckets; of joint axes as many as the rows allow
+        parts = F.broadcast(parts)
     rows = rows.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).cast("int")).drop("parts")
     ask = ask.join(parts, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     met = rows.unionByName(ask).repartition(partitions(spark), "bucket", "part").sortWithinPartitions("bucket", "part", "is_query").mapInArrow(_best(k), "q1 long, q2 long, c1 long, c2 long, least long, score double")
@@ -188,9 +232,9 @@ def _nearest(sample: list[np.ndarray], most: int):
                 for q, v in enumerate(sample):
                     if len(v) != x.shape[1]:
                         continue
-                    score = x @ v
+                    score = x.astype(np.float64) @ v
                     top = np.argpartition(-score, most - 1)[:most] if len(score) > most else np.arange(len(score))
-                    new = [score[top], h1[rows[top]], h2[rows[top]], copies[rows[top]], x[top]]
+                    new = [score[top], h1[rows[top]], h2[rows[top]], copies[rows[top]], x[top].astype(np.float64)]
                     if q in best:
                         new = [np.concatenate(y) for y in zip(best[q], new)]
                         top = np.argsort(-new[0], kind="stable")[:most]
@@ -202,37 +246,42 @@ def _nearest(sample: list[np.ndarray], most: int):
     return run
 
 
-def fitted(index: DataFrame, asked: DataFrame, k: int, tables: int, probes: int) -> tuple[int, int]:
-    """(tables, probes) by which the sample meets a share RECALL of its answers: probes as given or more, or one table with all axes probed."""
+def fitted(index: DataFrame, asked: DataFrame, k: int, tables: int, probes: int, per_bucket: int, chunk: int) -> tuple[int, int, dict[int, list[int]]]:
+    """(tables, probes, axes that count by length of vectors) by which the sample meets a share RECALL of its answers: probes as given or more; or
+    no axes, which compares all rows, where that moves fewer rows. So are compared vectors of other lengths than the 1,000 most frequent."""
+    sizes = {r.d: r.n for r in index.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1000).collect()}
+    widths = {d: levels(d, n, per_bucket) for d, n in sizes.items()}
     sample = asked.orderBy("h1", "h2").limit(SAMPLE).collect()
-    found = index.mapInArrow(_nearest([np.array(r.v) for r in sample], k + 1), "q int, score double, h1 long, h2 long, copies long, v array<double>")
+    found = index.mapInArrow(_nearest([np.array(r.v, float) for r in sample], k + 1), "q int, score double, h1 long, h2 long, copies long, v array<double>")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "h1", "h2")
     near: dict[int, list] = {}
     for r in sorted(found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).collect(), key=lambda r: (r.q, r.n)):
         near.setdefault(r.q, []).append(r)
-    depth, weight, most = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    depth, weight, whole = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for q, rows in near.items():
         copies = np.array([r.copies - ((r.h1, r.h2) == (sample[q].h1, sample[q].h2)) for r in rows])
-        least, x, v = np.full(len(rows), 1 << 30), directions(np.array([r.v for r in rows])), directions(np.array([sample[q].v]))
+        least, x, v = np.full(len(rows), 1 << 30), directions(np.array([r.v for r in rows], float)), directions(np.array([sample[q].v], float))
+        d = v.shape[1]
+        whole = max(whole, ceil(sizes[d] / chunk))
         for t in range(tables):
-            rank = np.argsort(axes(v, t, 1 << 30)[0])
-            least = np.minimum(least, rank[axes(x, t, 1)[:, 0]])
-            most = max(most, len(rank))
-        depth.append(least)
+            probed = axes(v, t, MOST_PROBES, widths[d])[0]
+            same = axes(x, t, 1, widths[d]) == probed
+            least = np.minimum(least, np.where(same.any(axis=1), same.argmax(axis=1), 1 << 30))
+        depth.append(np.minimum(least, MOST_PROBES))
         weight.append(np.diff(np.minimum(np.cumsum(np.append(0, copies)), k)))
     depth, weight = np.concatenate(depth), np.concatenate(weight)
-    met = np.cumsum(np.bincount(depth, weight, most))
+    met = np.cumsum(np.bincount(depth, weight, MOST_PROBES + 1))
     needed = 1 + int(np.searchsorted(met, RECALL * weight.sum())) if weight.sum() else probes
     if needed <= probes:
-        return tables, probes
-    return (tables, needed) if tables * needed < most else (1, 1 << 30)
+        return tables, probes, widths
+    return (tables, needed, widths) if needed <= MOST_PROBES and tables * needed < whole else (1, 1, {})
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES, chunk: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES, chunk: int = 4096, per_bucket: int = PER_BUCKET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of vectors (vec_id, v) for which is_query holds."""
     spark = vectors.sparkSession
     prepare(spark, 4096)
-    v = F.col("v").cast("array<double>")
+    v = F.col("v") if dict(vectors.dtypes)["v"] == "array<float>" else F.col("v").cast("array<double>")  # single precision takes half the room
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), is_query.alias("asks")).filter(F.col("vec_id").isNotNull() & valid(F.col("v")))
     every = stored(every.select("vec_id", "v", "asks", *(c.alias(n) for c, n in zip(key_hash(F.col("v")), ("h1", "h2")))), "vectors")
     ids = every.select("vec_id", "h1", "h2").distinct()
@@ -243,8 +292,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABL
     index = stored(every.join(firsts, ["h1", "h2", "vec_id"]).dropDuplicates(["h1", "h2"]).select("h1", "h2", F.col("vec_id").alias("least"), "v", "copies"), "classes")
     asking = every.filter("asks").select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
     asked = index.join(asking.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
-    tables, probes = fitted(index, asked, k, tables, probes)
-    top = stored(_search(index, asked, k, tables, probes, chunk), "top")
+    tables, probes, widths = fitted(index, asked, k, tables, probes, per_bucket, chunk)
+    top = stored(_search(index, asked, k, tables, probes, chunk, widths), "top")
 
     def answers(top: DataFrame) -> DataFrame:
         near = top.join(members.withColumnsRenamed({"h1": "c1", "h2": "c2"}), ["c1", "c2"])
@@ -259,5 +308,5 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABL
     again = asked.join(few.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
     if few.isEmpty():
         return found
-    whole = answers(_search(index, again, k, 1, 1 << 30, chunk)).join(few.select("query_id"), "query_id", "left_semi")
+    whole = answers(_search(index, again, k, 1, 1, chunk, {})).join(few.select("query_id"), "query_id", "left_semi")
     return found.join(few.select("query_id"), "query_id", "left_anti").unionByName(whole)
