@@ -6,8 +6,8 @@ examples. A
 vector has (1 + ln tf) * idf for the kept terms and a constant term BIAS, so that a text without kept terms still has a direction, that of
 the ordinary examples. Examples with equal vectors are one entry with counts.
 
-The index has blocks of entries, with the largest weight of each term in each block. A query takes blocks by falling upper bound, and
-stops when no block can hold anything nearer than the k-th found; the k nearest are those of the full scan. Entries vote with weight
+The index has blocks of entries, with the largest weight of each term in each block. A query takes the FIRST blocks of largest upper bound,
+then all whose bound reaches the k-th cosine found there; the k nearest are those of the full scan. Entries vote with weight
 cosine ** SHARPNESS times their count; a prior of one vote at the examples' rate is added. Votes become scores by isotonic calibration, fitted on
 the examples' own votes with one of their count left out.
 
@@ -38,7 +38,7 @@ from .common import fresh, prepare, stored
 MAX_EXAMPLES, MIN_DOCS, MIN_GAIN = 6000, 5, 5.0
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6)
-BIAS, SHARPNESS, NEAREST, BLOCK = 1.0, 8, 15, 64
+BIAS, SHARPNESS, NEAREST, BLOCK, FIRST = 1.0, 8, 15, 64, 8
 
 
 def terms(data: np.ndarray, at: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +74,8 @@ def _example_terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Index:
-    """Entries (distinct vectors of examples) in blocks. terms is sorted; postings of the term at place t are start[t]:start[t + 1]."""
+    """Entries (distinct vectors of examples) in blocks. terms is sorted; postings of the term at place t in block b are
+    start[t * blocks + b]:start[t * blocks + b + 1]."""
 
     terms: np.ndarray
     idf: np.ndarray
@@ -99,24 +100,28 @@ class Index:
         w, b = self.vector(place, tf)
         bound = w @ self.most[place] + b * self.most[-1]
         order = np.argsort(-bound, kind="stable")
-        if not len(order):
-            return np.zeros(0, np.int64), np.zeros(0)
-        ids, cos, n = np.zeros(0, np.int64), np.zeros(0), len(self.bias)
-        for group in np.split(order, range(1, len(order), 8)):
-            if len(ids) >= k and bound[group[0]] < cos[k - 1] - 1e-9:
-                break
-            own = np.concatenate([np.arange(g * BLOCK, min(n, (g + 1) * BLOCK)) for g in group])
-            got = np.zeros(n)
-            got[own] = b * self.bias[own]
-            for p, x in zip(place, w):
-                a, z = self.start[p], self.start[p + 1]
-                for g in group if z - a > BLOCK * len(group) else [None]:
-                    lo, hi = (a, z) if g is None else (a + np.searchsorted(self.entry[a:z], [g * BLOCK, (g + 1) * BLOCK]))
-                    got[self.entry[lo:hi]] += x * self.weight[lo:hi]
-            ids, cos = np.concatenate([ids, own]), np.concatenate([cos, got[own]])
-            best = np.lexsort((ids, -cos))[:k]
-            ids, cos = ids[best], cos[best]
-        return ids, cos
+        ids, cos = self._cosines(place, w, b, order[:FIRST])
+        if len(order) > FIRST:
+            least = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) >= k else -1.0
+            more = order[FIRST:][bound[order[FIRST:]] >= least - 1e-9]
+            if len(more):
+                ids, cos = (np.concatenate(x) for x in zip((ids, cos), self._cosines(place, w, b, more)))
+        best = np.lexsort((ids, -cos))[:k]
+        return ids[best], cos[best]
+
+    def _cosines(self, place: np.ndarray, w: np.ndarray, b: float, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All entries of some blocks with their cosines."""
+        all_ = self.most.shape[1]
+        if 4 * len(blocks) > all_:  # a term's postings as a whole
+            low, n = self.start[place * all_], self.start[(place + 1) * all_] - self.start[place * all_]
+        else:
+            cell = (place[:, None] * all_ + blocks).ravel()
+            low, n, w = self.start[cell], self.start[cell + 1] - self.start[cell], np.repeat(w, len(blocks))
+        which = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        got = np.bincount(self.entry[which], np.repeat(w, n) * self.weight[which], len(self.bias))
+        ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        ids = ids[ids < len(self.bias)]
+        return ids, got[ids] + b * self.bias[ids]
 
     def vote(self, ids: np.ndarray, cos: np.ndarray, but: int = -1, label: int = 0) -> float:
         """The weighted share of label 1; `but`: the entry of which one example with that label is left out."""
@@ -155,7 +160,7 @@ def build(rows: pd.DataFrame, examples: pd.DataFrame, kept: np.ndarray, df: np.n
         e[3] += 1
     # alike entries next to each other: blocks then have tight bounds
     found = sorted(entries.values(), key=lambda e: (e[0].tolist(), e[1].tolist()))
-    index = Index(kept, idf, np.zeros(len(kept) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(kept) + 1, -(-len(found) // BLOCK))), np.zeros(len(found)), *(np.array([e[i] for e in found], np.int64) for i in (2, 3, 4)), rate=float(examples["label"].mean()) if n else 0.0)
+    index = Index(kept, idf, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(kept) + 1, -(-len(found) // BLOCK))), np.zeros(len(found)), *(np.array([e[i] for e in found], np.int64) for i in (2, 3, 4)), rate=float(examples["label"].mean()) if n else 0.0)
     postings = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for i, (place, tf, *_) in enumerate(found):
         w, b = index.vector(place, tf)
@@ -166,7 +171,8 @@ def build(rows: pd.DataFrame, examples: pd.DataFrame, kept: np.ndarray, df: np.n
     place, entry, weight = (np.concatenate(x) for x in zip(*postings))
     order = np.lexsort((entry, place))
     index.entry, index.weight = entry[order], weight[order]
-    index.start = np.searchsorted(place[order], np.arange(len(kept) + 1))
+    blocks = index.most.shape[1]
+    index.start = np.searchsorted(place[order] * blocks + index.entry // BLOCK, np.arange(len(kept) * blocks + 1))
     votes = []
     for i, (place, tf, ones, count, _) in enumerate(found):
         near = index.nearest(place, tf)
