@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import mixing as M
 from tessera.llm import topics as T
+from tessera.llm import words as W
 
 
 def docs(spark, n=600, seed=1):
@@ -105,3 +106,29 @@ def test_topics_are_learnt(spark):
     assert len(small.centroids) == 3 and np.array_equal(small.centroids, T.fit(df.repartition(5), topics=3, sample=100).centroids)
     none = T.fit(df.limit(0))
     assert T.read(df.limit(0), none).count() == 0 and {r.topic for r in T.read(df, none).collect()} == {"none"}
+
+
+def test_topics_are_fitted_on_all_rows(spark):
+    """idf counts every row, and the centroids are the means of all rows nearest to them, however many there are and however they are dealt out."""
+    rng = random.Random(4)
+    subjects = [[f"{s}{i}" for i in range(40)] for s in ("sea", "star", "bread")]
+    rows = [(i, " ".join(rng.choice(subjects[i % 3]) for _ in range(30))) for i in range(4500)] + [(9000, "Zebra"), (9001, None), (9002, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = T.fit(df, topics=3)
+    with_words = [text.encode() for _, text in rows if (text or "").split()]
+    vectors, seen = np.zeros((len(with_words), T.DIMS)), np.zeros(T.DIMS)
+    for i, text in enumerate(with_words):
+        words = W.split(np.frombuffer(text, np.uint8), np.array([0, len(text)]), fold=True)
+        bucket, tf = np.unique((words.hashes() >> np.uint64(53)).astype(int), return_counts=True)
+        seen[bucket] += 1
+        vectors[i, bucket] = 1 + np.log(tf)
+    idf = np.log((len(with_words) + 1) / (seen + 1)) + 1e-6
+    assert np.allclose(model.idf, idf, atol=1e-12)
+    vectors *= idf
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    at = (vectors @ model.centroids.T).argmax(axis=1)
+    assert len(set(at)) == 3
+    for k, c in enumerate(model.centroids):
+        mean = vectors[at == k].sum(axis=0)
+        assert np.allclose(c / np.linalg.norm(c), mean / np.linalg.norm(mean), atol=1e-4)
+    assert np.array_equal(model.centroids, T.fit(df.repartition(7), topics=3).centroids)
