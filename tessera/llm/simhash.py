@@ -15,10 +15,13 @@ is its smallest doc_id that isn't null, null if it has none. Repeated rows come
 empty table.
 
 near_dedup() has parameters of its own: texts are near copies if the sets of their runs of five words (ASCII case folded) have a
-Jaccard similarity of 0.8 or more; a text of one to four words is one run, texts without words are alike. Equal sets are folded, sets that share a
-band of minima become candidates, and inside each connected group of candidates components are found by exact similarity (of 64-bit hashes of runs).
-Groups of more than `chunk` sets are cut into parts as above. It keeps of each component the row with the smallest (doc_id, nulls last; hash of the
-text), once.
+Jaccard similarity of 0.8 or more; a text of one to four words is one run, texts without words are alike. Equal sets are folded. The others have
+fingerprints of 256 bits, each bit the majority of that bit in the hashes of all runs, and are dealt out by samples of these bits: as many samples as leave
+a pair at 0.8 a chance of MISS to meet nowhere. In a bucket sets are sorted by their distance to the pivot, which is the empty set
+(their size); a pair goes on only while that differs by no more than 0.8 allows, and if the fingerprints differ in NEAR_RADIUS bits at most. Random
+fingerprints as pivots would drop nothing here: their distances have a spread of 11, far below the radius. Inside each connected
+group of such candidates components are found by exact similarity (of 64-bit hashes of runs). Buckets of more than `bucket` and groups of more than `chunk` sets
+are cut into parts as above. It keeps of each component the row with the smallest (doc_id, nulls last; hash of the text), once.
 """
 
 from __future__ import annotations
@@ -44,9 +47,10 @@ SEED = 42
 BUCKET = 2048
 PIVOTS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 16, dtype=np.uint64, endpoint=False)
 BLOCK = 1 << 16
-#: near_dedup(): least similarity, words in a shingle, bands and minima in a band: a pair at 0.8 shares no band with probability 3e-6.
-NEAR, NEAR_SHINGLE, BANDS, ROWS = 0.8, 5, 24, 4
-MINIMA = np.random.Generator(np.random.PCG64(23)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: near_dedup(): least similarity, words in a shingle, bits of a fingerprint, share of them that differ at the least similarity (at most, ties of small sets
+#: included), most that may, chance that such a pair meets in no bucket, sets in a bucket if evenly spread.
+NEAR, NEAR_SHINGLE, NEAR_BITS, DIFFER, NEAR_RADIUS, MISS, NEAR_BUCKET = 0.8, 5, 256, 0.163, 76, 3e-6, 1024
+WORDS = np.random.Generator(np.random.PCG64(23)).integers(0, 1 << 63, (NEAR_BITS // 64, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes) -> int:
@@ -81,32 +85,28 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _linked(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal task, enough to join what is joined: pairs of positions."""
-    fp = rows["fp"].view(np.uint64)
-    table = np.stack([np.bitwise_count(fp ^ p) for p in PIVOTS], axis=1).astype(np.int8)
-    order = np.lexsort((table[:, 0], rows["task"]))
-    task, fp, table = rows["task"][order], fp[order], table[order]
-    turn = np.ones(len(fp), bool)
+def _swept(task: np.ndarray, ahead, near) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal task, enough to join what is joined: pairs of positions. ahead(i, j): which j are still within reach of i, fewer as
+    j grows; near(i, j): which pairs link."""
+    size = len(task)
+    turn = np.ones(size, bool)
     turn[1:] = task[1:] != task[:-1]
     at = np.flatnonzero(turn)
-    stop = np.repeat(np.append(at[1:], len(fp)), np.diff(np.append(at, len(fp))))
+    stop = np.repeat(np.append(at[1:], size), np.diff(np.append(at, size)))
     run = np.cumsum(turn) - 1
     groups = np.bincount(run)  # in each run, not yet joined
-    root = np.arange(len(fp))
+    root = np.arange(size)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    i, d = np.arange(len(fp)), 0
+    i, d = np.arange(size), 0
     while len(i):
         d += 1
         i = i[i + d < stop[i]]
-        i = i[(table[i + d, 0] - table[i, 0] <= RADIUS) & (groups[run[i]] > 1)]
+        i = i[ahead(i, i + d) & (groups[run[i]] > 1)]
         j = i + d
         go = root[i] != root[j]
         x, y = i[go], j[go]
-        near = np.abs(table[x] - table[y]).max(axis=1, initial=0) <= RADIUS
-        x, y = x[near], y[near]
-        near = np.bitwise_count(fp[x] ^ fp[y]) <= RADIUS
-        x, y = x[near], y[near]
+        ok = near(x, y)
+        x, y = x[ok], y[ok]
         if not len(x):
             continue
         used = []
@@ -123,27 +123,59 @@ def _linked(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         b.append(y[used])
         while (deep := root[root]).tobytes() != root.tobytes():
             root = deep
-    return order[np.concatenate(a)], order[np.concatenate(b)]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _linked(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    fp = rows["fp"].view(np.uint64)
+    table = np.stack([np.bitwise_count(fp ^ p) for p in PIVOTS], axis=1).astype(np.int8)
+    order = np.lexsort((table[:, 0], rows["task"]))
+    fp, table = fp[order], table[order]
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = np.abs(table[x] - table[y]).max(axis=1, initial=0) <= RADIUS
+        ok[ok] = np.bitwise_count(fp[x[ok]] ^ fp[y[ok]]) <= RADIUS
+        return ok
 
+    a, b = _swept(rows["task"][order], lambda i, j: table[j, 0] - table[i, 0] <= RADIUS, near)
+    return order[a], order[b]
 
-def _links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, np.ndarray] | None = None
+
+def _near_linked(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((rows["n"], rows["task"]))
+    n, fp = rows["n"][order], np.stack([rows[f"f{k}"].view(np.uint64)[order] for k in range(len(WORDS))])
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(f[x] ^ f[y]).astype(np.int64) for f in fp) <= NEAR_RADIUS
+
+    a, b = _swept(rows["task"][order], lambda i, j: n[i] >= NEAR * n[j] - 1e-6, near)
+    return order[a], order[b]
+
+
+def _by_task(columns: list[str], linked):
+    """A function for mapInArrow: links (a, b), values of the first column, within runs of equal task."""
 
     def out(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        a, b = _linked(rows)
-        return pa.record_batch([pa.array(rows["fp"][a]), pa.array(rows["fp"][b])], names=["a", "b"])
+        a, b = linked(rows)
+        return pa.record_batch([pa.array(rows[columns[0]][a]), pa.array(rows[columns[0]][b])], names=["a", "b"])
+
+    def links_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        count = 0
+        for batch in it:
+            held.append({k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("task", *columns)})
+            count += batch.num_rows
+            if count < BLOCK:
+                continue
+            rows = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+            cut = int(np.searchsorted(rows["task"], rows["task"][-1]))
+            if cut:
+                yield out({k: v[:cut] for k, v in rows.items()})
+            held, count = [{k: v[cut:] for k, v in rows.items()}], count - cut
+        if count:
+            yield out({k: np.concatenate([x[k] for x in held]) for k in held[0]})
 
-    for batch in it:
-        new = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("task", "fp")}
-        held = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in new}
-        if len(held["fp"]) < BLOCK:
-            continue
-        cut = int(np.searchsorted(held["task"], held["task"][-1]))
-        if cut:
-            yield out({k: v[:cut] for k, v in held.items()})
-            held = {k: v[cut:] for k, v in held.items()}
-    if held is not None and len(held["fp"]):
-        yield out(held)
+    return links_of
 
 
 def blocks(n: int, bucket: int = BUCKET) -> list[int]:
@@ -176,7 +208,7 @@ def links(fps: DataFrame, chunk: int = 4096, bucket: int = BUCKET) -> DataFrame:
     dealt = keyed.join(full, "key").select("fp", "key", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     task = F.when((F.col("part") == 0) & (F.col("other") == 0), F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
     by_task = dealt.select("fp", task.alias("task")).repartition(partitions(fps.sparkSession), "task").sortWithinPartitions("task")
-    return by_task.mapInArrow(_links, "a long, b long")
+    return by_task.mapInArrow(_by_task(["fp"], _linked), "a long, b long")
 
 
 def _forest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,36 +297,71 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, W.U), *rows]).view(np.int64)))
 
 
-def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sid (hash of the set, 0 if empty), n (its size) and keys (hashes of each band's minima) of texts."""
-    for batch in it:
-        sid, n, keys, held = [], [], [], []
-
-        def flush() -> None:
-            some = [x for x in held if len(x)]
-            out = iter(())
-            if some:
-                flat, at = np.concatenate(some), np.cumsum([0, *map(len, some[:-1])])
-                ids = W.mix(np.add.reduceat(W.mix(flat ^ W.U(SEED)), at))
-                least = np.stack([np.minimum.reduceat(flat * m, at) for m in MINIMA], axis=1).reshape(len(some), BANDS, ROWS)
-                band = np.arange(BANDS, dtype=W.U) * W.U(0x9E3779B97F4A7C15) + W.U(1)
-                for r in range(ROWS):
-                    band = W.mix(band * W.U(0xD6E8FEB86659FD93) + least[:, :, r])
-                out = zip(ids, band)
-            for x in held:
-                i, k = next(out) if len(x) else (W.U(0), np.zeros(0, W.U))
-                sid.append(i)
-                n.append(len(x))
-                keys.append(k)
-            held.clear()
-
-        for x in _shingled(batch.column("text")):
-            held.append(x)
-            if sum(map(len, held)) > BLOCK or len(held) == 64:
-                flush()
-        flush()
-        cols = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(sid, W.U).view(np.int64)), pa.array(n, pa.int64()), _lists(keys)]
-        yield pa.record_batch(cols, names=["doc_id", "text_hash", "sid", "n", "keys"])
+def samples(sets: int) -> np.ndarray:
+    """Bits that make the keys of each table, for so many sets: the more sets, the more bits, and the more tables."""
+    bits = max(8, int(np.ceil(np.log2(max(sets, 1) / NEAR_BUCKET))))
+    d = np.arange(NEAR_BITS + 1)
+    log = np.concatenate([[0], np.cumsum(np.log(d[1:]))])
+    weight = np.exp(log[-1] - log - log[::-1] + d * np.log(DIFFER) + (NEAR_BITS - d) * np.log(1 - DIFFER))
+    meet = np.prod([np.clip(NEAR_BITS - d - i, 0, None) / (NEAR_BITS - i) for i in range(bits)], axis=0)
+    tables = 1
+    while (weight * (1 - meet) ** tables).sum() > MISS:
+        tables += 1
+    rng = np.random.Generator(np.random.PCG64(29))
+    return np.stack([rng.permutation(NEAR_BITS)[:bits] for _ in range(tables)])
+
+
+def majorities(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits of the fingerprints of sets: rows of NEAR_BITS. at, sizes: where each set lies in flat."""
+    words = W.mix(flat * WORDS)
+    # sums of the eight bits of every byte in turn, in bytes: of 255 hashes at most
+    pieces = -(-sizes // 255)
+    first = np.concatenate([[0], np.cumsum(pieces)[:-1]])
+    start = np.repeat(at, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    each = W.U(0x0101010101010101)
+    sums = np.stack([np.add.reduceat((words >> W.U(j)) & each, start, axis=1) for j in range(8)])
+    ones = np.add.reduceat(sums.view(np.uint8).reshape(8, len(WORDS), len(start), 8).transpose(2, 0, 1, 3).reshape(len(start), NEAR_BITS).astype(np.int64), first, axis=0)
+    # one run more that all sets of four and more share: with it, no set of so few is near a tie that its near copies are not near
+    own = np.arange(NEAR_BITS) % 2
+    more = (sizes >= 4)[:, None]
+    return 2 * (ones + own * more) > sizes[:, None] + more
+
+
+def _signatures(bits: np.ndarray):
+    """sid (hash of the set, 0 if empty), n (its size), fp (fingerprint) and keys (one for each table) of texts."""
+    scale = 1 << np.arange(bits.shape[1])
+    table = np.arange(len(bits)) << bits.shape[1]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sid, n, fp, keys, held = [], [], [], [], []
+
+            def flush() -> None:
+                some = [x for x in held if len(x)]
+                out = iter(())
+                if some:
+                    sizes = np.array([len(x) for x in some])
+                    flat, at = np.concatenate(some), np.cumsum([0, *sizes[:-1]])
+                    ids = W.mix(np.add.reduceat(W.mix(flat ^ W.U(SEED)), at))
+                    ones = majorities(flat, at, sizes)
+                    out = zip(ids, np.packbits(ones, axis=1).view(W.U), ones[:, bits] @ scale + table)
+                for x in held:
+                    i, f, k = next(out) if len(x) else (W.U(0), np.zeros(len(WORDS), W.U), np.zeros(0, np.int64))
+                    sid.append(i)
+                    n.append(len(x))
+                    fp.append(f)
+                    keys.append(k.view(W.U))
+                held.clear()
+
+            for x in _shingled(batch.column("text")):
+                held.append(x)
+                if sum(map(len, held)) > BLOCK or len(held) == 64:
+                    flush()
+            flush()
+            cols = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(sid, W.U).view(np.int64)), pa.array(n, pa.int64()), _lists(fp), _lists(keys)]
+            yield pa.record_batch(cols, names=["doc_id", "text_hash", "sid", "n", "fp", "keys"])
+
+    return run
 
 
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,14 +416,20 @@ def _near_links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def near_links(docs: DataFrame, each: DataFrame, chunk: int, most: int = 1 << 19) -> DataFrame:
-    """a, b: links between sets (sid) of similarity NEAR or more, enough to connect each component. each: one row (sid, doc_id, text_hash, n, keys) a set."""
+def near_links(docs: DataFrame, each: DataFrame, chunk: int, most: int = 1 << 19, bucket: int = 4096) -> DataFrame:
+    """a, b: links between sets (sid) of similarity NEAR or more, enough to connect each component. each: one row (sid, doc_id, text_hash, n, fp, keys) a set."""
     spark = docs.sparkSession
-    keyed = stored(each.select("sid", F.explode("keys").alias("key")), "bands")
-    least = stored(keyed.groupBy("key").agg(F.min("sid").alias("m"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key", "m"), "least")
-    rough = components(keyed.join(least, "key").filter(F.col("sid") != F.col("m")).select(F.col("sid").alias("a"), F.col("m").alias("b")))
-    members = stored(rough.withColumnRenamed("node", "sid").join(each.drop("keys"), "sid"), "candidates")
-    discard(keyed, least)
+    full = each.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > bucket)
+    full = stored(full.select("key", F.ceil(F.col("held") / bucket).cast("int").alias("parts")), "full")  # few: at most all keys' rows / bucket
+    own = ["sid", "n", *(f"f{k}" for k in range(len(WORDS)))]
+    keyed = each.select("sid", "n", *(F.col("fp")[k].alias(f"f{k}") for k in range(len(WORDS))), F.explode("keys").alias("key"))
+    part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
+    split = keyed.join(F.broadcast(full), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part)
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    task = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    met = split.select(*own, task.alias("task")).repartition(partitions(spark), "task").sortWithinPartitions("task")
+    rough = components(met.mapInArrow(_by_task(own, _near_linked), "a long, b long"))
+    members = stored(rough.withColumnRenamed("node", "sid").join(each.drop("keys", "fp"), "sid"), "candidates")
     # shingles are made anew for candidates alone; a table of 2^24 bits keeps most other texts from the shuffle
     word, bit = F.shiftrightunsigned("text_hash", 46), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("text_hash", 40).bitwiseAND(63).cast("int"))
     some = members.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
@@ -377,8 +450,8 @@ def near_dedup(docs: DataFrame, chunk: int = 1024) -> DataFrame:
     """The rows of docs that stay, one for each component of similar texts; columns as they were."""
     prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    slim = slim.mapInArrow(_signatures, "doc_id long, text_hash long, sid long, n long, keys array<long>")
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n", "keys")
+    slim = slim.mapInArrow(_signatures(samples(docs.count())), "doc_id long, text_hash long, sid long, n long, fp array<long>, keys array<long>")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n", "fp", "keys")
     each = stored(slim.groupBy("sid").agg(F.min(row).alias("row")).select("sid", "row.*"), "distinct")
     labels = components(near_links(docs, each.drop("none"), chunk)).withColumnRenamed("node", "sid")
     labelled = each.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
